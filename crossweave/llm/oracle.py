@@ -37,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND, "p5_ranked": P5_RANKED,
         "p6_users": P6_USERS, "p6_pairs": P6_PAIRS, "p7_found": P7_FOUND, "p7_top": P7_TOP,
+        "p8_round_trip": "select doc_id, true as same from documents",
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossweave.llm import frequent, overlaps, pairs, sample, textstats, topn
+from crossweave.llm import encode, frequent, mix, overlaps, pairs, sample, textstats, topn
 from crossweave.operators.scale import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,25 @@ def p7_top(spark, d):
     return frequent.most_frequent(list(_ratings(spark, d).values()), 100).select("item_key", "n_rows")
 
 
+def p8_ids(spark, d):
+    return encode.encode(table(spark, d, "documents"))
+
+
+def p8_round_trip(spark, d):
+    """Whether each text comes back from its ids; null texts come back empty."""
+    docs = table(spark, d, "documents")
+    back = encode.decode(encode.encode(docs)).withColumnRenamed("text", "back")
+    return docs.select("doc_id", "text").join(back, "doc_id").selectExpr("doc_id", "back = coalesce(text, '') as same")
+
+
+def p9_mix(spark, d):
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_report(spark, d):
+    return mix.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark, d):
     return textstats.structured_documents(table(spark, d, "documents"), table(spark, d, "frequent_words"))
 
@@ -68,5 +87,5 @@ def p10_stats(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    fs = (p1_found, p1_pairs, p4_found, p4_report, p5_found, p5_ranked, p6_pairs, p6_users, p7_found, p7_top, p10_found, p10_stats)
+    fs = (p1_found, p1_pairs, p4_found, p4_report, p5_found, p5_ranked, p6_pairs, p6_users, p7_found, p7_top, p8_ids, p8_round_trip, p9_mix, p9_report, p10_found, p10_stats)
     return {f.__name__: f for f in fs}
