@@ -21,7 +21,7 @@ def _sample(keys: str, where: str) -> str:
     joined = " || '|' || ".join(keys.split(", "))
     return f"""with x as (select 'src' as dom, {key('userId')} as user_key, {key('itemId')} as item_key, batch_no from src_ratings
 union all select 'tgt', {key('userId')}, {key('itemId')}, batch_no from tgt_ratings),
-f as (select {keys}, cast(coalesce(min(batch_no), -1) as bigint) as first_batch from x where {where} group by {keys}),
+f as (select {keys}, min(coalesce(cast(batch_no as bigint), -1)) as first_batch from x where {where} group by {keys}),
 s as (select *, row_number() over (order by first_batch, md5({joined}), {keys}) - 1 as seq from f)
 select * from s where (cast(seq as hugeint) * {GOLDEN} + 123456789) % {1 << BITS} < {round(0.05 * (1 << BITS))}"""
 

@@ -26,9 +26,8 @@ def low_discrepancy(seq: Column, shift: int) -> Column:
 def sequence_numbers(df: DataFrame, keys: list[str], batch: str) -> DataFrame:
     """(*keys, first_batch, seq) for every distinct key: seq counts from 0 in the order (first batch, md5 of the key,
     key). Rows of later batches give new keys higher numbers and change none, so the numbers persist without being
-    stored. Keys that come only with a null batch have first_batch -1 and go first; the numbers persist as long as no
-    such row is added."""
-    first = df.groupBy(*keys).agg(F.coalesce(F.min(batch), F.lit(-1)).cast("long").alias("first_batch"))
+    stored. A null batch counts as -1, before all others; the numbers persist as long as no such row is added."""
+    first = df.groupBy(*keys).agg(F.min(F.coalesce(F.col(batch).cast("long"), F.lit(-1))).alias("first_batch"))
     hashed = first.withColumn("_h", F.md5(F.concat_ws("|", *keys)))
     return running_total(hashed, [], ["first_batch"], "_h", keys, F.lit(1), "seq").select(*keys, "first_batch", "seq")
 
