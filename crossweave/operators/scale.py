@@ -16,10 +16,9 @@ BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 24 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the folder that spark.checkpoint.dir names. A temporary folder is set only where
-    no folder is set and the master runs in this process."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. A temporary folder is set only where none
+    is set and the master runs in this process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="crossweave-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from crossweave.plans import problems, problems_sql
+from crossweave.plans import problems, problems_sql, queries as pipeline, queries_sql
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "transfer_pairs"
 
 
 def queries():
-    return {**problems.queries()}
+    return {**pipeline.queries(), **problems.queries()}
 
 
 def oracle_sql():
-    return {**problems_sql.oracle_sql()}
+    return {**queries_sql.oracle_sql(), **problems_sql.oracle_sql()}
