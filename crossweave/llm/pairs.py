@@ -149,8 +149,12 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
     big, small = F.broadcast(big), members.join(F.broadcast(big), "user_key", "left_anti")
 
     masks = members.join(big, "user_key").groupBy("item_key").agg(F.bit_or("bit").alias("mask"))
-    coded = running_total(eligible.withColumn("h", F.md5("item_key")), [], [], "h", ["item_key"], F.lit(1), "code")
-    coded = cut(coded.join(masks, "item_key", "left").select("item_key", "code", "n", "cls", F.coalesce("mask", F.lit(0)).alias("mask")))
+    # codes go up with the number of mask bits, so that a code tells it and a pair can be judged before its items are joined
+    eligible = eligible.join(masks, "item_key", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    eligible = eligible.withColumns({"bits": F.bit_count("mask"), "h": F.md5("item_key")})
+    coded = running_total(eligible, [], ["bits"], "h", ["item_key"], F.lit(1), "code")
+    coded = cut(coded.select("item_key", "code", "n", "cls", "mask", "bits"))
+    levels = coded.where("bits > 0").groupBy("bits").agg(F.min("code").alias("start")).orderBy("bits").collect()  # 63 rows at most
 
     codes = coded.select("item_key", "code")
     light = small.join(codes, "item_key").select("user_key", "code")
@@ -170,8 +174,11 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
     spelt = cells.select(F.explode(F.flatten(F.when(F.col("lo") == F.col("hi"), inside).otherwise(across))).alias("ab"))
     counted = spelt.groupBy("ab").agg(F.count(F.lit(1)).alias("n_light"))
 
-    # with its common mask bits a pair has at most n_light + |heavy|; that prunes nearly all before the joins
-    counted = counted.where(F.col("n_light") + len(heavy) >= min_count)
+    # a pair has at most as many common mask bits as its item with fewer, and the lower code has fewer
+    lower, upper = F.shiftright("ab", 31), F.lit(0)
+    for level in levels:
+        upper = F.when(lower >= level["start"], F.lit(level["bits"])).otherwise(upper)
+    counted = counted.where(F.col("n_light") + upper >= min_count)
     side = lambda s: coded.select(F.col("code").alias(f"code_{s}"), F.col("item_key").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("mask").alias(f"mask_{s}"))
     split = counted.select(F.shiftright("ab", 31).alias("code_a"), F.col("ab").bitwiseAND((1 << 31) - 1).alias("code_b"), "n_light")
     pairs = split.join(side("a"), "code_a").join(side("b"), "code_b")
