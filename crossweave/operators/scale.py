@@ -77,7 +77,8 @@ def running_total(
     ``hashed`` is an even hexadecimal hash of the row's key. Rows are cut into 16**digits ranges of it; the ranges'
     sums make a small table whose own running sum gives each range its offset, and only the rest is summed inside a
     range. No window holds a whole part, and the result doesn't hang on ``digits`` or on the layout. ``ties`` have to
-    make the order total; equal rows beyond that share their order arbitrarily."""
+    make the order total; equal rows beyond that share their order arbitrarily. part, lead and hashed may not be null:
+    plain equality lets the join's partitioning serve the window as well."""
     b, v = "_range", "_value"
     x = df.withColumns({b: F.substring(F.col(hashed), 1, digits), v: value.cast("long")})
     sums = x.groupBy(*part, *lead, b).agg(F.sum(v).alias("_sum"))
@@ -86,8 +87,8 @@ def running_total(
     offset = (F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_offset")
     offsets = sums.select(*[F.col(c).alias(f"_at_{c}") for c in keys], offset)
     inner = Window.partitionBy(*keys).orderBy(hashed, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
-    joined = x.join(offsets, on, "left").drop(*[f"_at_{c}" for c in keys])
+    on = reduce(lambda p, q: p & q, [(F.col(c) == F.col(f"_at_{c}")) for c in keys])
+    joined = x.join(offsets, on).drop(*[f"_at_{c}" for c in keys])
     return joined.withColumn(out, F.col("_offset") + F.sum(v).over(inner) - F.col(v)).drop(b, v, "_offset")
 
 
