@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import asdict, is_dataclass
+from dataclasses import fields, is_dataclass
+from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +16,10 @@ def config_key(**parts) -> str:
     two strategies with equal fields differ, and everything that a table hangs on, seeds included, belongs in it."""
 
     def plain(x):
-        if is_dataclass(x) and not isinstance(x, type):
-            return {"class": type(x).__name__, **{k: plain(v) for k, v in asdict(x).items()}}
+        if isinstance(x, Enum):
+            return [type(x).__name__, x.name]
+        if is_dataclass(x):
+            return {"class": type(x).__name__, **{f.name: plain(getattr(x, f.name)) for f in fields(x)}}
         if isinstance(x, dict):
             return {str(k): plain(v) for k, v in x.items()}
         if isinstance(x, (list, tuple)):
