@@ -32,6 +32,8 @@ CELL = 512
 #: Degrees up to EXACT are classes of their own; above, classes are 1 % wide. So the histogram of degrees that the
 #: driver sees has at most EXACT + 100 * ln(largest degree / EXACT) rows, about 2,500 for 10**12 records.
 EXACT, WIDTH = 256, 0.01
+#: Kinds of pairs whose tails are computed at once.
+TRIPLES = 512
 
 
 def baskets(df: DataFrame, user: str = "userId", item: str = "itemId") -> DataFrame:
@@ -75,46 +77,54 @@ def fit_null(user_count, user_degree, item_class, item_count, item_degree, round
     return Null(nu, x, np.asarray(item_class), y)
 
 
-def tails(q: np.ndarray, m: np.ndarray, n: int) -> tuple[float, float]:
-    """(mean, log10 P(X >= n)) of X, the sum over k of Binomial(m[k], q[k]).
+def tails(q: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, log10 P(X >= n)) for each row k of q, X being the sum over the columns j of Binomial(m[j], q[k, j]).
 
     Saddle point with the Lugannani-Rice formula and its continuity correction for lattice variables; the relative
-    error is a few percent at n = 1 and falls with n. Probabilities far below the range of doubles stay exact in logs."""
-    from math import erfc, log, pi, sqrt
-
-    mean = float((m * q).sum())
-    if n <= 0:
-        return mean, 0.0
-    top = float(m[q > 0].sum())
-    if n > top:
-        return mean, float("-inf")
-    q = np.clip(q, 1e-300, 1 - 1e-12)
-    if n == top:
-        return mean, float((m * np.log10(q)).sum())
-    s = log(n / mean) if mean > 0 else 0.0
-    lo, hi = -700.0, 700.0
+    error is a few percent at n = 1 and falls with n. Far tails are computed in logs, so they don't vanish."""
+    n = np.asarray(n, float)
+    mean, top = q @ m, (q > 0) @ m
+    out = np.zeros(len(n))
+    out[n > top] = -np.inf
+    full = (n == top) & (n > 0)
+    if full.any():
+        out[full] = np.log10(np.clip(q[full], 1e-300, 1)) @ m
+    rows = np.flatnonzero((n > 0) & (n < top))
+    if not len(rows):
+        return mean, out
+    q, n = np.clip(q[rows], 1e-300, 1 - 1e-12), n[rows]
+    mu = q @ m
+    s = np.clip(np.log(n / mu), -500, 500)
+    lo, hi = np.full(len(n), -700.0), np.full(len(n), 700.0)
     odds = q / (1 - q)
     for _ in range(200):  # Newton, kept inside a bracket: the mean under the tilt s has to be n
-        t = odds * np.exp(min(s, 600.0))
+        t = odds * np.exp(np.minimum(s, 600.0))[:, None]
         p = t / (1 + t)
-        gap = float((m * p).sum()) - n
-        lo, hi = (s, hi) if gap < 0 else (lo, s)
-        if abs(gap) < 1e-10 * n:
+        gap, variance = p @ m - n, (p * (1 - p)) @ m
+        lo, hi = np.where(gap < 0, s, lo), np.where(gap < 0, hi, s)
+        if (np.abs(gap) <= 1e-10 * n).all():
             break
-        step = s - gap / max(float((m * p * (1 - p)).sum()), 1e-300)
-        s = step if lo < step < hi else (lo + hi) / 2
-    variance = float((m * p * (1 - p)).sum())
-    k = float((m * np.log1p(q * np.expm1(min(s, 600.0)))).sum())
-    if abs(s) < 1e-4:  # at the mean the formula's limit
-        return mean, log(min(1.0, 0.5 * erfc((n - 0.5 - mean) / sqrt(2 * variance)))) / log(10)
-    w = (1 if s > 0 else -1) * sqrt(max(2 * (s * n - k), 1e-300))
-    u = (1 - np.exp(-s)) * sqrt(variance)
-    if w > 5:  # in logs: the normal tail by Mills' ratio
+        step = s - gap / np.maximum(variance, 1e-300)
+        step = np.where((step > lo) & (step < hi), step, (lo + hi) / 2)
+        s = np.where(np.abs(gap) <= 1e-10 * n, s, step)
+    k = np.log1p(q * np.expm1(np.minimum(s, 600.0))[:, None]) @ m
+    near = np.abs(s) < 1e-4  # at the mean the formula has a limit
+    w = np.sign(s) * np.sqrt(np.maximum(2 * (s * n - k), 1e-300))
+    u = -np.expm1(-s) * np.sqrt(variance)
+    with np.errstate(all="ignore"):
         mills = 1 / w - 1 / w**3 + 3 / w**5 - 15 / w**7
-        inner = mills + (1 / u - 1 / w)
-        return mean, min(0.0, (-w * w / 2 - 0.5 * log(2 * pi) + log(max(inner, 1e-300))) / log(10))
-    p_tail = 0.5 * erfc(w / sqrt(2)) + np.exp(-w * w / 2) / sqrt(2 * pi) * (1 / u - 1 / w)
-    return mean, log(min(1.0, max(p_tail, 1e-300))) / log(10)
+        far = -w * w / 2 - 0.5 * np.log(2 * np.pi) + np.log(np.maximum(mills + 1 / u - 1 / w, 1e-300))
+        z = np.where(near, (n - 0.5 - mu) / np.sqrt(variance), w)
+        tail = 0.5 * _erfc(z / np.sqrt(2)) + np.where(near, 0.0, np.exp(-w * w / 2) / np.sqrt(2 * np.pi) * (1 / u - 1 / w))
+        log = np.where(~near & (w > 5), far, np.log(np.clip(tail, 1e-300, 1)))
+    out[rows] = np.minimum(log, 0) / np.log(10)
+    return mean, out
+
+
+def _erfc(x: np.ndarray) -> np.ndarray:
+    from math import erfc
+
+    return np.array([erfc(v) for v in x])
 
 
 def _degrees(df: DataFrame, key: str) -> tuple[DataFrame, pd.DataFrame]:
@@ -194,13 +204,14 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
     pairs = cut(pairs)
 
     def surprise(batches):
+        held = [null.x * y / (1 + null.x * y) for y in null.y]
         where = {int(c): k for k, c in enumerate(null.item_class)}
         for b in batches:
-            found = []
-            for lo, hi, n in zip(b["lo"], b["hi"], b["n_ab"]):
-                a, c = null.x * null.y[where[lo]], null.x * null.y[where[hi]]
-                found.append(tails(a / (1 + a) * (c / (1 + c)), null.user_count, int(n)))
-            yield b.assign(expected=[round(x, 6) for x, _ in found], surprise=[round(max(0.0, -t), 4) for _, t in found])
+            for at in range(0, len(b), TRIPLES):
+                part = b.iloc[at : at + TRIPLES]
+                q = np.stack([held[where[lo]] * held[where[hi]] for lo, hi in zip(part["lo"], part["hi"])])
+                mean, log10 = tails(q, null.user_count, part["n_ab"].to_numpy())
+                yield part.assign(expected=mean.round(6), surprise=np.maximum(0.0, -log10).round(4))
 
     kinds = pairs.select("lo", "hi", "n_ab").distinct()
     scored = kinds.mapInPandas(surprise, "lo long, hi long, n_ab long, expected double, surprise double")

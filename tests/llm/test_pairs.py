@@ -68,11 +68,15 @@ def test_tails_against_convolution():
     for p, k in zip(q, m):
         for _ in range(int(k)):
             dist = np.convolve(dist, [1 - p, p])
-    for n in (1, 3, 10, int((q * m).sum()), int((q * m).sum()) + 1, 45, 70):
-        exact = dist[n:].sum()
-        mean, log10 = pairs.tails(q, m, n)
-        assert math.isclose(mean, (q * m).sum()) and abs(10**log10 / exact - 1) < 0.06, (n, exact, 10**log10)
-    assert pairs.tails(q, m, 0)[1] == 0 and pairs.tails(q, m, int(m.sum()) + 1)[1] == -math.inf
+    ns = [1, 3, 10, int((q * m).sum()), int((q * m).sum()) + 1, 45, 70, 0, int(m.sum()) + 1]
+    mean, log10 = pairs.tails(np.tile(q, (len(ns), 1)), m, np.array(ns))
+    assert np.allclose(mean, (q * m).sum())
+    for n, t in zip(ns[:7], log10):
+        assert abs(10**t / dist[n:].sum() - 1) < 0.06, (n, dist[n:].sum(), 10**t)
+    assert log10[7] == 0 and log10[8] == -math.inf
+    far = pairs.tails(np.full((1, 3), 1e-4), np.array([10.0, 50, 1000]), np.array([200]))[1][0]
+    exact = (math.lgamma(1061) - math.lgamma(201) - math.lgamma(861) + 200 * math.log(1e-4) + 860 * math.log1p(-1e-4)) / math.log(10)
+    assert abs(far - exact) < 0.05  # the first term of a tail that falls fast
 
 
 def test_q_values_are_benjamini_hochberg(spark):
