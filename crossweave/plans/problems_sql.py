@@ -29,16 +29,17 @@ P2_REPORT = f"""with {_ORPHANS}, b as (select table_name, field_name, row_key, c
 select r.table_name, r.field_name, strftime(r.ts, '%Y-%m') as month, count(*) as n_refs, count(b.k) as n_orphans
 from refs r left join b using (table_name, field_name, row_key) group by 1, 2, 3"""
 P2_RECORDS = f"""with recursive {_ORPHANS},
-direct as (select distinct table_name, row_key from orphans),
+direct as materialized (select distinct table_name, row_key from orphans),
 r as (select 'src_ratings' as t, 'src' as dom, row_id, {key('userId')} as u, {key('itemId')} as i from src_ratings
       union all select 'tgt_ratings', 'tgt', row_id, {key('userId')}, {key('itemId')} from tgt_ratings),
-gone as (select r.dom, r.u, r.i from r left join direct d on d.table_name = r.t and d.row_key = r.row_id
+gone as materialized (select r.dom, r.u, r.i from r left join direct d on d.table_name = r.t and d.row_key = r.row_id
          where r.u is not null and r.i is not null group by 1, 2, 3 having count(*) = count(d.row_key)),
+s as materialized (select row_id, dom, {key('userId')} as u, {key('itemId')} as i from split_ratings),
 lost(doc_id, depth) as (
-  select doc_id, 0 from documents d where parent_id is not null and parent_id not in (select doc_id from documents)
+  select d.doc_id, 0 from documents d left join documents p on p.doc_id = d.parent_id where d.parent_id is not null and p.doc_id is null
   union all select d.doc_id, l.depth + 1 from documents d join lost l on d.parent_id = l.doc_id)
 select table_name, row_key, 'direct' as kind, 0 as depth from direct
-union all select 'split_ratings', s.row_id, 'inherited', 1 from split_ratings s join gone g on g.dom = s.dom and g.u = {key('s.userId')} and g.i = {key('s.itemId')}
+union all select 'split_ratings', s.row_id, 'inherited', 1 from s join gone g on g.dom = s.dom and g.u = s.u and g.i = s.i
 union all select 'documents', doc_id, case depth when 0 then 'direct' else 'inherited' end, depth from lost"""
 _KEYS = " union all ".join(
     f"select '{t}' as table_name, {key('userId')} as u, {key('itemId')} as i, case when {ok} then {v} end as v from {t}"
