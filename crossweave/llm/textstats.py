@@ -58,6 +58,8 @@ def own_text(text: str) -> list[str]:
         else:
             opened.append(m.start())
     for p in opened:
+        if _QUOTED_LINE.match(text[text.rfind("\n", 0, p) + 1 : p]):  # it goes with its line
+            continue
         end = max([p, *(b for a, b in spans if a > p)] if len(opened) < 50 else [p])
         gap = _BLANK.search(text, end)
         spans.append((p, gap.start() if gap else len(text)))
