@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,12 @@ _SAID = re.compile(r".{0,80}\b(?:wrote|said|schrieb|écrit|escribió|писал)
 _SIGNATURE = re.compile(r"\s*(?:--|—|_{5,}|~ \S.*|~\*~.*|\[sig\].*|\*{5,}|={5,}|- - -.*)\s*$")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,200}>|\[/?(?:b|i|u|s|color|url|img|size|sig|spoiler|code|list|\*|quote|font|center)(?:=[^\]\n]{0,200})?\]|&[a-z]{2,8};|&#\d{1,6};", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_URL = re.compile(r"\b(?:https?://|www\.)\S+|\b\S+@\S+\.\w+")
+_URL = re.compile(r"\b(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S{1,200}")
 _ITEM = re.compile(r"\s*(?:[-*+•·–—▪◦‣○●■□►]\s+|\[[ xX]?\]\s*|\(?\d{1,4}[.):\]]\s+|\(?[a-zA-Z][.)]\s+|#\d+\s|\d{1,3}\s+(?=\S.*\[\d+:\d\d\]))\S")
 _MARKED = re.compile(r"\s*(?:<(?:/?[uod]l|li|/?t(?:able|r|d|h|body|head)|d[td])\b|\[\*\]|\[/?(?:list|table|tr|td|th)\b)", re.I)
 _KANA = re.compile(r"[぀-ヿ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]\U0001F300-\U0001FAFF☀-➿️\s]*$")
+_ENDERS, _CLOSERS = frozenset(".!?…。！？"), frozenset("\"'”’»)]\ufe0f")
 _DELIMITERS = re.compile(r"\t|\||;|,|:| / | - | – |->|=|  +")
 _SPACES = re.compile(r"\s+")
 
@@ -47,6 +49,16 @@ STATS = (
 )
 
 
+def _ends(line: str) -> bool:
+    """Whether a line ends as a sentence does, closing marks, pictographs and white space aside."""
+    for c in reversed(line):
+        if c in _ENDERS:
+            return True
+        if not (c.isspace() or c in _CLOSERS or 0x2600 <= ord(c) <= 0x27BF or 0x1F300 <= ord(c) <= 0x1FAFF):
+            return False
+    return False
+
+
 def own_text(text: str) -> list[str]:
     """The lines of a post without quoted posts and signature. A quote that is never closed ends at the next blank line,
     or with the text."""
@@ -57,12 +69,20 @@ def own_text(text: str) -> list[str]:
             spans.append((opened.pop(), m.end()) if opened else (m.start(), m.end()))
         else:
             opened.append(m.start())
+    closed: list[tuple[int, int]] = []  # closed quotes, nested ones merged
+    for a, b in sorted(spans):
+        closed[-1:] = [(closed[-1][0], max(b, closed[-1][1]))] if closed and a < closed[-1][1] else [*closed[-1:], (a, b)]
+    blanks = [m.start() for m in _BLANK.finditer(text)] if opened else []
     for p in opened:
         if _QUOTED_LINE.match(text[text.rfind("\n", 0, p) + 1 : p]):  # it goes with its line
             continue
-        end = max([p, *(b for a, b in spans if a > p)] if len(opened) < 50 else [p])
-        gap = _BLANK.search(text, end)
-        spans.append((p, gap.start() if gap else len(text)))
+        at = p
+        while (k := bisect_left(blanks, at)) < len(blanks):
+            j = bisect_left(closed, (blanks[k], 0)) - 1
+            if j < 0 or closed[j][0] < p or closed[j][1] <= blanks[k]:
+                break
+            at = closed[j][1]  # that blank line is inside a closed quote
+        spans.append((p, blanks[k] if k < len(blanks) else len(text)))
     kept, at = [], 0
     for a, b in sorted(spans):
         if a > at:
@@ -181,7 +201,7 @@ def _settle(lines: list[str], kinds: list[str]) -> list[str]:
             count = {t: sum(len(lines[j].strip()) for j in block if kinds[j] == t) for t in ("prose", "list", "table", "junk")}
             size = sum(len(lines[j].strip()) for j in open_)
             lengths = np.array([len(lines[j].strip()) for j in open_], float)
-            ended = sum(bool(_ENDS.search(lines[j])) for j in open_)
+            ended = sum(_ends(lines[j]) for j in open_)
             run = len(open_) >= 3 and lengths.mean() < 60
             if count["prose"] >= 0.5 * size:
                 kind = "prose"
@@ -193,10 +213,10 @@ def _settle(lines: list[str], kinds: list[str]) -> list[str]:
                 kind = "prose"
             for j in open_:
                 kinds[j] = kind
+        others = Counter(kinds[i] for i in block if kinds[i] not in ("rule", "markup"))
         for j in block:
             if kinds[j] in ("rule", "markup"):
-                others = [kinds[i] for i in block if kinds[i] not in ("rule", "markup", "?")]
-                kinds[j] = max(set(others), key=others.count) if others else "junk" if kinds[j] == "rule" and len(lines[j].strip()) > 3 else "prose"
+                kinds[j] = others.most_common(1)[0][0] if others else "junk" if kinds[j] == "rule" and len(lines[j].strip()) > 3 else "prose"
         block = []
     return kinds
 
@@ -215,7 +235,7 @@ def document_stats(text: str | None, frequent: frozenset[str]) -> tuple:
     part = lambda a, b: round(a / b, 6) if b else None
     head = (
         len(text), len(words), part(sum(map(len, words)), len(words)), part(symbols, len(solid)),
-        part(sum(bool(_ENDS.search(x)) for x in filled), len(filled)), part(sum(w in frequent for w in lower), len(words)),
+        part(sum(_ends(x) for x in filled), len(filled)), part(sum(w in frequent for w in lower), len(words)),
     )
     lines = own_text(text)
     own = [x for x in lines if x.strip()]
