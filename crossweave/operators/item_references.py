@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.functions.keys import with_keys
-from crossweave.operators.orphans import Edge, cascade, direct_orphans, periods_by_key
+from crossweave.operators.orphans import Edge, cascade, direct_orphans
 
 # Fixed values: (table, field, domain of the parent, row key, time, whether the reference is a number).
 REFERENCES = (
@@ -33,12 +33,11 @@ def references(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def item_periods(item_index: DataFrame) -> DataFrame:
-    """(dom, ref, periods) for both ways of naming an item; absent ids and null numbers name none."""
+    """(dom, ref, s, e) for both ways of naming an item; absent ids and null numbers name none."""
     keep = [item_index[c] for c in ("dom", "iid", "listed_at", "removed_at")]
     x = with_keys(item_index, {"key": "itemId"}, keep)
     names = F.explode(F.array("key", F.concat(F.lit("#"), F.col("iid").cast("string"))))
-    y = x.select("dom", names.alias("ref"), "listed_at", "removed_at").where("ref is not null and dom is not null")
-    return periods_by_key(y, ["dom", "ref"], "listed_at", "removed_at")
+    return x.select("dom", names.alias("ref"), F.col("listed_at").alias("s"), F.col("removed_at").alias("e"))
 
 
 def orphan_references(tables: dict[str, DataFrame]) -> DataFrame:
