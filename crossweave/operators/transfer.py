@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.operators.scale import lookup
+from crossweave.operators.scale import is_small, lookup
+
+#: Users whose product with all items may be made at once.
+MAX_PRODUCT_USERS = 10_000
 
 
 def warm_users(src_matrix: DataFrame, n_shared: int, above: int = 15) -> DataFrame:
@@ -43,7 +46,9 @@ def transfer_pairs(candidates: DataFrame, tgt_matrix: DataFrame) -> DataFrame:
 
 
 def negative_candidates(users: DataFrame, items: DataFrame, tgt_matrix: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, iid): all items for each of users but their target positives and transfer items. users has to be few: its
-    product with all items is made."""
+    """(uid, iid): all items for each of users but their target positives and transfer items. users has to be a batch,
+    which is measured, since its product with all items is made."""
+    if not is_small(users, MAX_PRODUCT_USERS):
+        raise ValueError(f"more than {MAX_PRODUCT_USERS} users")
     known = tgt_matrix.select("uid", "iid").unionByName(pairs.select("uid", "iid"))
     return items.select("iid").join(F.broadcast(users.select("uid"))).select("uid", "iid").join(known, ["uid", "iid"], "left_anti")
