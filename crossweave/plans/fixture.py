@@ -109,7 +109,8 @@ class Fixture:
         """(n1_asin, n2_asin) as text in JSON and back: parts of both domains of one brand and like size."""
         p = table(self.spark, self.folder, "part").select("p_partkey", "p_brand", "p_size", F.col("p_type").isin(*SRC_TYPES).alias("src"))
         side = lambda cond, n: p.where(cond).select(self._item("p_partkey").alias(f"n{n}_asin"), "p_brand", F.col("p_size").alias(f"s{n}"))
-        x = side("src", 1).join(side("not src", 2), "p_brand").where("abs(s1 - s2) <= 5")
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # the few parts have many pairs: all tasks expand them
+        x = side("src", 1).repartition(spread, "n1_asin").join(side("not src", 2), "p_brand").where("abs(s1 - s2) <= 5")
         text = x.select(F.to_json(F.struct("n1_asin", "n2_asin")).alias("line"))
         return text.select(F.from_json("line", "n1_asin string, n2_asin string").alias("j")).select("j.*")
 
