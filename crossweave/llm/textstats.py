@@ -171,6 +171,8 @@ def _kinds(lines: list[str], frequent: frozenset[str]) -> tuple[list[str], float
             kinds[k] = "table"
         elif set(solid) <= set("-+|=_:*~#.") and len(solid) >= 3:
             kinds[k] = "rule"
+        elif is_text and in_words >= 0.8 * len(solid):
+            kinds[k] = "prose"
         elif _repetitive(x):
             kinds[k] = "junk"
         elif is_text:
