@@ -23,7 +23,8 @@ def p1_found(spark, d):
 
 
 def p1_pairs(spark, d):
-    return pairs.item_pairs(table(spark, d, "src_ratings"), min_count=12, min_lift=1.0)
+    """Every pair that shares a basket, those rarer than chance included."""
+    return pairs.item_pairs(table(spark, d, "src_ratings"), min_count=1)
 
 
 def p4_found(spark, d):

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from crossweave.llm import pairs
+from crossweave.llm import pairs, queries
 
 SCHEMA = "userId string, itemId string, code long, n long, user_key int"  # the last three clash with names used inside
 
@@ -40,6 +40,15 @@ def test_counts_are_exact(spark, monkeypatch, least, cell):
     assert all(0 <= r.q_value <= 1 and r.surprise >= 0 and math.isclose(r.lift, r.n_ab * r.n_baskets / r.n_a / r.n_b, abs_tol=1e-5) for r in got)
 
 
+def test_query_reports_every_pair(spark, tmp_path):
+    rows = _rows(4, 120, 8)
+    spark.createDataFrame([r[:2] for r in rows], "userId string, itemId string").write.parquet(str(tmp_path / "src_ratings.parquet"))
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n_baskets, r.lift) for r in queries.p1_pairs(spark, str(tmp_path)).collect()}
+    want = _brute(rows, 1)
+    assert {p: x[:4] for p, x in got.items()} == want
+    assert min(x[0] for x in got.values()) < 12 and min(x[4] for x in got.values()) < 1
+
+
 def test_lift_prunes_nothing_it_should_keep(spark):
     rows = _rows(2, 400, 60)
     want = {p for p, (c, a, b, n) in _brute(rows, 2).items() if c * n >= 2 * a * b}
