@@ -20,10 +20,24 @@ def order_hash(seed: int, uid: str | Column = "uid", iid: str | Column = "iid")
     return F.pmod(col(uid) * 7919 + col(iid) * 104729 + F.lit(seed * 31), F.lit(MODULUS))
 
 
-def ranked(df: DataFrame, group: list[str], seed: int) -> DataFrame:
+def step_seed(seed: int, step: int) -> int:
+    """A seed in [0, MODULUS) for a step, mixed multiplicatively, so that steps and seeds don't run into each other."""
+    x = (seed * 0x9E3779B97F4A7C15 + step * 0xBF58476D1CE4E5B9 + 0x94D049BB133111EB) % 2**64
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ x >> 30) * k % 2**64
+    return (x ^ x >> 31) % MODULUS
+
+
+def shuffle_hash(seed: int, step: int, *cols: str) -> Column:
+    """Hash of ids in [0, MODULUS) whose order in one step says nothing about that in another; order_hash only shifts."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *cols), F.lit(MODULUS))
+
+
+def ranked(df: DataFrame, group: list[str], seed: int, hashed: Column | None = None) -> DataFrame:
     """Adds n, the rows of the group, and rn, the row's place in it by (hash, uid, iid), from 1. A group of many rows is
-    cut into ranges of the hash: each range is ranked alone and starts at the number of rows in those before it."""
-    x = df.withColumn("_h", order_hash(seed))
+    cut into ranges of the hash: each range is ranked alone and starts at the number of rows in those before it. The hash
+    is order_hash, or ``hashed`` in [0, MODULUS)."""
+    x = df.withColumn("_h", order_hash(seed) if hashed is None else hashed)
     sizes = x.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     x = x.join(sizes, group) if group else x.withColumn("n", sizes.scalar())
     x = x.withColumn("_b", F.floor(F.col("_h") * F.ceil(F.col("n") / RANK_ROWS) / MODULUS))

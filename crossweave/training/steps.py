@@ -125,20 +125,22 @@ def ltn_step(triples: DataFrame, reg: DataFrame, users: DataFrame, items: DataFr
     return long_form(adamw(state(users, items), grads, 1, learning_rate, weight_decay))
 
 
-def train(users: DataFrame, items: DataFrame, gradient, steps: int, learning_rate: float, weight_decay: float, max_norm: float | None = None, validate=None, patience: int = 5) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """(best state, metrics): up to ``steps`` steps; gradient(step, users, items) gives (entity, id, g). validate(users,
-    items) -> score stops after more than ``patience`` steps without a strict rise; the best state is always kept. Every
-    state is checkpointed, so the lineage doesn't grow and a lost executor costs one step."""
+def train(users: DataFrame, items: DataFrame, gradient, epochs: int, learning_rate: float, weight_decay: float, max_norm: float | None = None, validate=None, patience: int = 5, batches: int = 1) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(best state, metrics): up to ``epochs`` epochs of ``batches`` steps each; gradient(step, users, items) gives (entity,
+    id, g) and step counts on from 1 through all epochs. validate(users, items) -> score after each epoch stops after more
+    than ``patience`` epochs without a strict rise; the best state is always kept. Every state is checkpointed, so the
+    lineage doesn't grow and a lost executor costs one step."""
     params = cut(state(users, items))
     best, metrics, top, flat = params, [], float("-inf"), 0
-    for step in range(1, steps + 1):
-        grads = gradient(step, *factors(params))
-        params = cut(adamw(params, grads if max_norm is None else clip(grads, max_norm), step, learning_rate, weight_decay))
+    for epoch in range(1, epochs + 1):
+        for step in range((epoch - 1) * batches + 1, epoch * batches + 1):
+            grads = gradient(step, *factors(params))
+            params = cut(adamw(params, grads if max_norm is None else clip(grads, max_norm), step, learning_rate, weight_decay))
         if validate is None:
             best = params
             continue
         score = validate(*factors(params))
-        metrics.append((step, score))
+        metrics.append((epoch, score))
         if score != score:
             break
         if score > top:

@@ -155,6 +155,22 @@ def test_streams(spark, tmp_path):
         assert q.awaitTermination(60) and sorted(map(tuple, spark.table(name).collect())) == want
 
 
+def test_an_epoch_is_all_positives(spark, tmp_path, monkeypatch):
+    rows = lambda x: spark.createDataFrame([(f"u{u}", f"{x}{i}", 5.0 if (u + i) % 3 else 1.0) for u in range(3) for i in range(18)], "userId string, itemId string, rating double")
+    paths = spark.createDataFrame([], "n1_asin string, n2_asin string")
+    p = Pipeline(rows("s"), rows("t"), paths, Experiment("a", "b", source_mf=MfParams(2, 0.05, 0.01, 12), epochs=2, eval_draws=6, eval_kept=4), str(tmp_path))
+    seen, whole = [], steps.with_differences
+    monkeypatch.setattr(steps, "with_differences", lambda t, *x: seen.append([(r.uid, r.pos_iid) for r in t.collect()]) or whole(t, *x))
+    p.source_model
+    want = sorted((r.uid, r.iid) for r in p.matrix["src"].collect())
+    n = math.ceil(len(want) / 12)
+    assert n > 1 and len(seen) == 2 * n and all(len(b) <= 12 for b in seen)
+    for epoch in (seen[:n], seen[n:]):
+        assert sorted(sum(epoch, [])) == want
+    assert len(set(seen[0]) & set(seen[n])) < 11  # another shuffle, not the first one shifted
+    assert [r.epoch for r in p.store.read("metrics").orderBy("epoch").collect()] == [1, 2]
+
+
 def test_whole_experiment(spark, tmp_path):
     rows = lambda items, users: spark.createDataFrame([(f"u{u}", f"{items}{i}", float(1 + (u * 7 + i * 3 + u * i) % 5)) for u in users for i in range(60)], "userId string, itemId string, rating double")
     paths = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(60)], "n1_asin string, n2_asin string")
