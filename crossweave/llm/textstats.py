@@ -3,8 +3,9 @@
 A forum post is first cut down to its own text: quoted posts and the signature go. Its lines are then told apart:
 
 * tables, from delimiters that stand vertically aligned: neighbouring lines with the same row of delimiters;
-* lists, from item marks, from an indentation that comes back, and from runs of short lines of like length
-  (autocorrelation of line lengths) without the words that sentences need;
+* lists, from item marks, from an indentation that comes back under short lines, from runs of short lines of like length
+  (autocorrelation of line lengths) written as names, both whatever their words, and from runs of short lines without
+  the words that sentences need;
 * junk, from the shares of letters, words, symbols and digits, and from repetition.
 
 What is left is prose. All of a text is read; every pattern is linear in its length.
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame
 STRUCTURED = 0.5
 #: Words that may be held in each worker; a larger table of frequent words is refused.
 MAX_WORDS = 100_000
+#: Lines of under SHORT characters may be items without a mark; RUN of them with lengths ALIKE and NAMES of the rarer words
+#: capitalised are, without an indentation.
+SHORT, RUN, ALIKE, NAMES = 60, 4, 0.9, 0.9
 
 _QUOTE = re.compile(r"\[quote[^\]\n]{0,80}\]|\[/quote\]|<blockquote[^>\n]{0,80}>|</blockquote>", re.I)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
@@ -119,10 +123,50 @@ def _autocorrelation(x: np.ndarray) -> float:
     return 1.0 if v < 1e-9 else float((a * b).sum() / v)
 
 
+def _recurs(indents: list[int]) -> list[bool]:
+    """Which lines repeat an indentation above 0 of the lines around them; headings at 0 may stand between."""
+    return [i > 0 and (i in indents[max(0, k - 2) : k] or i in indents[k + 1 : k + 3]) for k, i in enumerate(indents)]
+
+
 def _periodicity(indents: list[int]) -> float:
-    """Share of lines that repeat an indentation above 0 of the lines around them; headings at 0 may stand between."""
-    n = sum(1 for k, i in enumerate(indents) if i > 0 and (i in indents[max(0, k - 2) : k] or i in indents[k + 1 : k + 3]))
-    return n / len(indents) if indents else 0.0
+    """Share of lines whose indentation recurs."""
+    return sum(_recurs(indents)) / len(indents) if indents else 0.0
+
+
+def _alike(x: np.ndarray) -> bool:
+    """Whether the lengths of a run of lines are alike: their autocorrelation about 0, as a cosine."""
+    a, b = x[:-1], x[1:]
+    return float((a * b).sum()) >= ALIKE * float(np.sqrt((a * a).sum() * (b * b).sum()))
+
+
+def _listed(lines: list[str], frequent: frozenset[str]) -> set[int]:
+    """Lines that structure alone makes list items, whatever their words: in a run of short lines of one block without
+    the end or the comma of a sentence, two or more that share a recurring indentation and begin alike, or RUN or more
+    of like length whose words outside the frequent ones are capitalised, as in names and titles. Wrapped prose begins
+    in capitals and goes on in small letters."""
+    filled = [k for k, x in enumerate(lines) if x.strip()]
+    indents = [len(lines[k]) - len(lines[k].lstrip()) for k in filled]
+    recurs = dict(zip(filled, _recurs(indents)))
+    indent = dict(zip(filled, indents))
+    found: set[int] = set()
+    run: list[int] = []
+    for k in range(len(lines) + 1):
+        x = lines[k].strip() if k < len(lines) else ""
+        short = x and len(x) < SHORT and not _ends(x) and x[-1] not in ",;:"
+        if short and (not run or indent[k] == indent[run[-1]]):
+            run.append(k)
+            continue
+        if len(run) >= 2:
+            small = sum(lines[j].lstrip()[0].islower() for j in run)
+            if all(recurs[j] for j in run):
+                if small in (0, len(run)):
+                    found.update(run)
+            elif len(run) >= RUN and small == 0:
+                rare = [w for j in run for w in _WORD.findall(lines[j]) if w.lower() not in frequent]
+                if len(rare) >= len(run) and sum(w[0].isupper() for w in rare) >= NAMES * len(rare) and _alike(np.array([len(lines[j].strip()) for j in run], float)):
+                    found.update(run)
+        run = [k] if short else []
+    return found
 
 
 def _repetitive(line: str) -> bool:
@@ -143,6 +187,7 @@ def _kinds(lines: list[str], frequent: frozenset[str]) -> tuple[list[str], float
     kinds, aligned = [""] * n, 0
     filled = [k for k in range(n) if lines[k].strip()]
     place = {k: p for p, k in enumerate(filled)}
+    listed = _listed(lines, frequent)
 
     def texty(k: int) -> bool:
         if len(_KANA.findall(plain[k])) >= 0.2 * max(1, len(plain[k])):
@@ -171,6 +216,8 @@ def _kinds(lines: list[str], frequent: frozenset[str]) -> tuple[list[str], float
             kinds[k] = "table"
         elif set(solid) <= set("-+|=_:*~#.") and len(solid) >= 3:
             kinds[k] = "rule"
+        elif k in listed and letters >= 0.6 * len(solid):
+            kinds[k] = "list"
         elif is_text and in_words >= 0.8 * len(solid):
             kinds[k] = "prose"
         elif _repetitive(x):

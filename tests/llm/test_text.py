@@ -128,6 +128,18 @@ def test_structured(text, want):
     assert textstats.document_stats(text, frozenset(WORDS))[-1] is want
 
 
+NAMES = ["The Garden of Kesh", "The Ferry of Winter", "It Was in the Rain", "A Road to the Sea", "The Keeper and the Owl", "Of Salt and the Snow"]
+WRAPPED = "The story was good and it\nis in the shop and I went\nto the end of it and that\nwas it and the shop is in\nthe end of that story"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("WANT:\n" + "\n".join(f"    {x}" for x in NAMES), True), ("WANT:\n    A Road to the Sea\n    The Ferry of Winter\nHAVE:\n    It Was in the Rain\n    The Garden of Kesh", True),
+    ("\n".join(NAMES), True), (WRAPPED, False), ("    " + WRAPPED.replace("\n", "\n    "), False), (PROSE + "\n" + PROSE + "\n\n    A Road to the Sea\n    The Garden of Kesh", False),
+])
+def test_indentation_and_like_lengths_outweigh_ordinary_words(text, want):
+    assert textstats.document_stats(text, frozenset(WORDS))[-1] is want
+
+
 def test_stats_frame(spark):
     df = spark.createDataFrame([(1, PROSE, 5), (2, None, 5), (3, "", 5), (4, "a b.\ncc", 5)], "doc_id long, text string, n_words int")
     words = spark.createDataFrame([(w,) for w in WORDS] + [(None,)], "word string")
