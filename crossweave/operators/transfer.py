@@ -9,6 +9,8 @@ from crossweave.operators.scale import is_small, lookup
 
 #: Users whose product with all items may be made at once.
 MAX_PRODUCT_USERS = 10_000
+#: Items of a block.
+ITEM_BLOCK = 4096
 
 
 def warm_users(src_matrix: DataFrame, n_shared: int, above: int = 15) -> DataFrame:
@@ -52,3 +54,17 @@ def negative_candidates(users: DataFrame, items: DataFrame, tgt_matrix: DataFram
         raise ValueError(f"more than {MAX_PRODUCT_USERS} users")
     known = tgt_matrix.select("uid", "iid").unionByName(pairs.select("uid", "iid"))
     return items.select("iid").join(F.broadcast(users.select("uid"))).select("uid", "iid").join(known, ["uid", "iid"], "left_anti")
+
+
+def all_negative_candidates(users: DataFrame, items: DataFrame, tgt_matrix: DataFrame, pairs: DataFrame) -> DataFrame:
+    """negative_candidates of any number of users. Each user meets each block of items once, as an array, and what the
+    user has in that block is taken out of it: the product never goes through a shuffle, only to the result."""
+    block = F.floor(F.col("iid") / ITEM_BLOCK).alias("_block")
+    users, items = users.select("uid").distinct(), items.select("iid").distinct()
+    known = tgt_matrix.select("uid", "iid").unionByName(pairs.select("uid", "iid")).join(users, "uid", "left_semi")
+    known = known.groupBy("uid", block).agg(F.collect_set("iid").alias("_known"))
+    blocks = items.groupBy(block).agg(F.collect_list("iid").alias("_items"))
+    spread = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows become many: all tasks expand them
+    met = users.crossJoin(F.broadcast(blocks.select("_block"))).repartition(spread, "uid", "_block").join(known, ["uid", "_block"], "left")
+    left = F.when(F.col("_known").isNull(), F.col("_items")).otherwise(F.array_except("_items", "_known"))
+    return lookup(met, blocks, ["_block"]).select("uid", F.explode(left).alias("iid"))

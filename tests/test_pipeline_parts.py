@@ -1,6 +1,7 @@
 """Hand-sized cases of the recommendation operators."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 import pytest
 
 from crossweave.operators import indexing, logic, matrices, metrics, negatives, ranking, scoring, splits, transfer
-from crossweave.plans.fixture import implicit
+from crossweave.plans import queries
+from crossweave.plans.fixture import fixture, implicit
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def _rows(df, *cols):
@@ -104,6 +108,29 @@ def test_auc_and_empty_summary(spark):
     assert metrics.eval_summary(metrics.row_metrics(_candidates(spark, 1).limit(0), 10), 5).first()["n_rows"] == 0
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_candidates_of_all_users(spark, monkeypatch, block):
+    monkeypatch.setattr(transfer, "ITEM_BLOCK", block)
+    monkeypatch.setattr(transfer, "MAX_PRODUCT_USERS", 5)
+    rng = random.Random(6)
+    some = lambda n: {(rng.randint(0, 29), rng.randint(0, 19)) for _ in range(n)}
+    rated, pairs = some(80) | {(4, i) for i in range(20)}, some(60)
+    frame = lambda x: spark.createDataFrame(sorted(x), "uid long, iid long")
+    users = spark.range(0, 24, 2).withColumnRenamed("id", "uid")
+    got = transfer.all_negative_candidates(users, spark.range(20).withColumnRenamed("id", "iid"), frame(rated), frame(pairs))
+    assert _rows(got, "uid", "iid") == [(u, i) for u in range(0, 24, 2) for i in range(20) if (u, i) not in rated | pairs]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_candidate_query_has_every_transfer_user(spark):
+    f = fixture(spark, FOLDER)
+    pairs, rated = ({(r.uid, r.iid) for r in x.collect()} for x in (f.pairs, f.matrix_no_shared))
+    items = [r.iid for r in f.items["tgt"].collect()]
+    users = {u for u, _ in pairs}
+    assert len(users) > 10
+    assert _rows(queries.reg_negative_candidates_all(spark, FOLDER), "uid", "iid") == sorted((u, i) for u in users for i in items if (u, i) not in pairs | rated)
+
+
 @pytest.mark.parametrize("hits,best", [((1, 4), 4), ((1, 2), 2), ((1, 5), 2), ((3, 9), 3)])
 def test_best_k_cases(spark, hits, best):
     r = spark.createDataFrame([(1, k, int(k in hits)) for k in range(1, 11)], "uid long, rank int, rel int")
