@@ -160,6 +160,11 @@ def src_ranking(spark, d):
     return fixture(spark, d).top_scores(F.lit(50)).select("uid", "iid", "rank")
 
 
+def src_ranking_2n(spark, d):
+    """The first 2n places of warm users with n positives, the depth that the pipeline cuts from."""
+    return fixture(spark, d).top_scores(2 * F.col("n_pos"))
+
+
 def ndcg_curve(spark, d):
     f = fixture(spark, d)
     return ranking.ndcg_curve(f.ranking, f.warm, f.n_items["src"])
@@ -331,7 +336,7 @@ def queries():
         scan_ratings, scan_kg_paths, implicit_feedback, shared_users, exclusive_users, user_index_src, user_index_tgt, item_index, item_index_first_seen,
         item_universe, ratings_indexed, dataset_stats, split_leave_one_out, split_leave_last_out, split_percent_user, split_percent_stratified, test_shared_only,
         train_no_shared, train_all_shared, train_thinned, eval_positives, ui_matrix, ui_matrix_no_shared, user_pos_counts, sim_pairs, sim_missing_items,
-        sim_adjacency, warm_users, cold_users, transfer_users, mf_score, mf_score_sigmoid, src_scores, src_ranking, ndcg_curve, best_k, best_k_closed_form,
+        sim_adjacency, warm_users, cold_users, transfer_users, mf_score, mf_score_sigmoid, src_scores, src_ranking, src_ranking_2n, ndcg_curve, best_k, best_k_closed_form,
         src_topk, transfer_candidates, transfer_pairs, transfer_pairs_retained, reg_negative_candidates, reg_negative_candidates_all, neg_draws, train_negatives, eval_negatives,
         eval_candidates, eval_pairs, ndcg_at_k, hit_at_k, auc_user_macro, eval_summary, dist_predicate, bpr_loss, forall_axiom1, forall_axiom2, sat_agg,
         epoch_batches, epoch_batch_count, epoch_summary, early_stop_trace, seed_summary, mf_train_step, ltn_train_step, sweep_trials,

@@ -121,6 +121,13 @@ def test_candidates_of_all_users(spark, monkeypatch, block):
     assert _rows(got, "uid", "iid") == [(u, i) for u in range(0, 24, 2) for i in range(20) if (u, i) not in rated | pairs]
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+def test_ranking_query_has_2n_places(spark):
+    f = fixture(spark, FOLDER)
+    places = {r.uid: r["count"] for r in queries.queries()["src_ranking_2n"](spark, FOLDER).groupBy("uid").count().collect()}
+    assert places and places == {r.uid: min(2 * r.n_pos, f.n_items["src"]) for r in f.warm.collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_candidate_query_has_every_transfer_user(spark):
     f = fixture(spark, FOLDER)
