@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
+from crossweave.operators.metrics import Metric
 from crossweave.operators.splits import LeaveLastOut, LeaveOneOut
 from crossweave.pipeline import Pipeline
 from crossweave.sources.readers import Registry, read_paths, read_ratings
@@ -155,6 +156,17 @@ def test_streams(spark, tmp_path):
         assert q.awaitTermination(60) and sorted(map(tuple, spark.table(name).collect())) == want
 
 
+def test_auc_validates_by_auc(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame([(f"u{u}", f"{x}{i}", 5.0 if (u + i) % 3 else 1.0) for u in range(3) for i in range(18)], "userId string, itemId string, rating double")
+    p = Pipeline(rows("s"), rows("t"), spark.createDataFrame([], "n1_asin string, n2_asin string"), Experiment("a", "b", eval_draws=6, eval_kept=4, metric=Metric.AUC), str(tmp_path))
+    model = lambda b: (p.users["src"].selectExpr("uid", "array(0D) as v", "0D as b"), p.items["src"].selectExpr("iid", "array(0D) as v", f"{b} as b"))
+    assert p._validate("src")(*model("0D")) == 0.0  # all scores equal: none is strictly higher, though NDCG ranks the positive first
+    found = {}
+    for r in p.candidates("src", "val", "src", *model("cast(iid as double)")).where("cand_pos <= 1").collect():
+        found.setdefault(r.uid, {})[r.is_pos] = r.score
+    assert len(found) == 3 and abs(p._validate("src")(*model("cast(iid as double)")) - sum(x[1] > x[0] for x in found.values()) / 3) < 1e-6
+
+
 def test_an_epoch_is_all_positives(spark, tmp_path, monkeypatch):
     rows = lambda x: spark.createDataFrame([(f"u{u}", f"{x}{i}", 5.0 if (u + i) % 3 else 1.0) for u in range(3) for i in range(18)], "userId string, itemId string, rating double")
     paths = spark.createDataFrame([], "n1_asin string, n2_asin string")
