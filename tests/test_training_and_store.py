@@ -130,6 +130,14 @@ def test_store_and_keys(spark, tmp_path):
         Experiment("a", "b", sparsity_sh=1.5)
 
 
+def test_seeds_draw_splits(spark):
+    rated = spark.createDataFrame([(u, i, 1) for u in range(4) for i in range(60)], "uid long, iid long, r int")
+    test = lambda s: sorted((r.uid, r.iid) for r in s.split(rated).where("split = 'test'").collect())
+    one, two = experiment("music", "movies", seed=1), experiment("music", "movies", seed=2)
+    assert test(one.source_split) != test(two.source_split) and test(one.target_split) != test(two.target_split)
+    assert test(one.source_split) == test(one.target_split) and experiment("music", "movies", seed=1, target_split=LeaveLastOut()).target_split.time == "dt"
+
+
 def test_readers(spark, tmp_path):
     csv = "timestamp,rating,userId,itemId,more\n1500000000,4.0,u1,007,x\n,bad,u2,b,y\n"
     with gzip.open(tmp_path / "r.csv.gz", "wt") as f:
