@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The search space.
 N_FACTORS = (1, 5, 10, 25, 50, 100, 150, 200)
@@ -36,3 +38,25 @@ def search(rows: list[tuple], objective: Callable[[dict], float]) -> list[tuple]
     """(trial, score) of each trial, best first; equal scores by trial."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return sorted(((r[0], objective(dict(zip(names, r)))) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
+def tune(pipeline: Callable[[dict], object], model: str, rows: list[tuple], store) -> DataFrame:
+    """Trains ``model`` (source_model, target_mf or target_ltn) of the pipeline that ``pipeline(trial)`` gives for each
+    trial, and writes the trials with their best validation score, null without one, as table sweep_<model> of store."""
+
+    def objective(trial: dict) -> float:
+        p = pipeline(trial)
+        getattr(p, model)
+        best = p.store.read("metrics").where((F.col("model") == model) & ~F.isnan("score")).agg(F.max("score")).first()[0] if p.store.has("metrics") else None
+        return float("-inf") if best is None else best
+
+    scores = dict(search(rows, objective))
+    scored = [(*r, None if scores[r[0]] == float("-inf") else scores[r[0]]) for r in rows]
+    return store.write(f"sweep_{model}", store.spark.createDataFrame(scored, f"{SCHEMA}, score double"))
+
+
+def with_trial(config, model: str, trial: dict):
+    """The experiment with a trial's parameters for ``model``."""
+    name = {"source_model": "source_mf"}.get(model, model)
+    kind = type(getattr(config, name))
+    return replace(config, **{name: kind(**{f.name: trial[f.name] for f in fields(kind)})})

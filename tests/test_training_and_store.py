@@ -112,6 +112,23 @@ def test_sweep():
     assert sweep.search(rows, lambda t: -t["learning_rate"])[0][0] == min(rows, key=lambda r: r[2])[0]
 
 
+def test_tuning_trains_each_trial(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame([(f"u{u}", f"{x}{i}", 5.0 if (u + i) % 3 else 1.0) for u in range(3) for i in range(18)], "userId string, itemId string, rating double")
+    paths = spark.createDataFrame([], "n1_asin string, n2_asin string")
+    base = Experiment("a", "b", epochs=1, eval_draws=6, eval_kept=4)
+    made = []
+
+    def pipeline(trial):
+        made.append(Pipeline(rows("s"), rows("t"), paths, sweep.with_trial(base, "source_model", trial), str(tmp_path)))
+        return made[-1]
+
+    trials = [(0, 1, 0.05, 0.01, 128, 2, 2, 2), (1, 2, 0.01, 0.1, 256, 3, 3, 3)]
+    got = {r.trial: r for r in sweep.tune(pipeline, "source_model", trials, Store(spark, str(tmp_path / "out"))).collect()}
+    assert [p.config.source_mf for p in made] == [MfParams(1, 0.05, 0.01, 128), MfParams(2, 0.01, 0.1, 256)]
+    assert {k: r.score for k, r in got.items()} == {k: p.store.read("metrics").first().score for k, p in enumerate(made)}
+    assert got[1].batch_size == 256 and sweep.with_trial(base, "target_ltn", dict(got[1].asDict())).target_ltn.p_sat == 3
+
+
 def test_store_and_keys(spark, tmp_path):
     s, made = Store(spark, str(tmp_path / "x")), []
     make = lambda: made.append(1) or spark.range(3)
