@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from crossweave.operators.scale import cut, lookup
+from crossweave.operators.scale import lookup, rank_in_groups
 
 
 def dense_ids(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
-    """Adds ``out``: 0.. in the given order, which has to be total. The rows are range-partitioned and checkpointed;
-    each partition counts from the number of rows before it, so no window spans partitions."""
-    ranged = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)  # one row a partition
-    offsets = sizes.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
-    mine = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_before") + F.row_number().over(mine) - 1).cast("long")).drop("_part", "_before")
+    """Adds ``out``: 0.. in the given order, which has to be total; no window spans ranges of rows, see rank_in_groups."""
+    return rank_in_groups(df, [], order, out).withColumn(out, F.col(out) - 1)
 
 
 def user_presence(src: DataFrame, tgt: DataFrame) -> DataFrame:

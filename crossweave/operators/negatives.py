@@ -1,4 +1,4 @@
-"""Sampled negatives: uniform draws with replacement by an arithmetic hash, marked where they hit a train positive."""
+"""Sampled negatives: uniform draws with replacement by a seeded hash, marked where they hit a train positive."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crossweave.functions.hashing import seeded_hash
 
-def draw_hash(n_items: int, seed: int) -> Column:
-    """Item of a draw, from uid, pos_iid and draw."""
-    mixed = F.pmod(F.col("uid") * 7919 + F.col("pos_iid") * 104729 + F.col("draw") * 1299709 + F.lit(seed * 31), F.lit(1_000_003))
-    return F.pmod(mixed * 7 + F.col("draw") * 13, F.lit(n_items))
 
+def draw_hash(n_items: int, seed: int | str) -> Column:
+    """Item of a draw, from uid, pos_iid and draw: a hash of 60 bits taken modulo the number of items, so that every item
+    of any catalogue may be drawn and none is favoured by more than n_items / 2**60."""
+    return F.pmod(seeded_hash(seed, "draw", "uid", "pos_iid", "draw"), F.lit(n_items).cast("long"))
 
-def draws(positives: DataFrame, matrix: DataFrame, n_items: int, m: int, seed: int) -> DataFrame:
+
+def draws(positives: DataFrame, matrix: DataFrame, n_items: int, m: int, seed: int | str) -> DataFrame:
     """(uid, pos_iid, draw, iid, is_false): m draws for each (uid, pos_iid); is_false marks items that are train
     positives of the user. Draws may repeat, and may hit a held-out positive, which the sampler can't know."""
     x = positives.select("uid", "pos_iid", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("draw")).withColumn("iid", draw_hash(n_items, seed))

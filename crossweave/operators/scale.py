@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 #: A side is broadcast only if it was measured to have no more rows and bytes than this.
 BROADCAST_ROWS = 400_000
 BROADCAST_BYTES = 24 << 20
+#: A key with no more rows than this is never spread.
+HOT_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,17 +58,66 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return n <= rows and b <= size
 
 
-def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salts: int = 8, spread: Column | None = None) -> DataFrame:
+def tasks_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(facts: DataFrame, on: list[str], least: int = HOT_ROWS) -> DataFrame:
+    """(*on, _parts): the keys with more rows than a task should have, which is ``least`` or a task's even share if that is
+    more, and into how many parts they have to be cut. Counted with map-side combining. As each has more than an even share,
+    there are no more of them than shuffle tasks: the table may be broadcast."""
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+    share = F.greatest(F.lit(least), F.ceil(total.scalar() / tasks_of(facts.sparkSession)))
+    x = counts.withColumn("_share", share).where(F.col("_n") > F.col("_share"))
+    return x.select(*on, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_parts"))
+
+
+def salted(facts: DataFrame, dim: DataFrame, on: list[str], how: str, hot: DataFrame, spread: Column | None = None) -> DataFrame:
+    """The equi-join of facts with dim in which only the keys of ``hot`` (see hot_keys) are dealt over parts by ``spread``,
+    and only their rows of dim are repeated, once for each part."""
+    if hot.isEmpty():
+        return facts.join(dim, on, how)
+    hot, salt = F.broadcast(hot), "_salt"
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]) if spread is None else spread
+    parts = F.coalesce("_parts", F.lit(1))
+    a = facts.join(hot, on, "left").withColumn(salt, F.pmod(spread, parts).cast("int")).drop("_parts")
+    b = dim.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [*on, salt], how).drop(salt)
+
+
+def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", spread: Column | None = None) -> DataFrame:
     """facts joined with dim (one row for each key): broadcast if dim was measured to be small, else an equi-join in
-    which every key of facts is spread over ``salts`` partitions by ``spread`` and dim is repeated for each salt, so
-    that a key holding a third of the rows isn't one task. ``how``: inner, left, left_semi or left_anti."""
+    which keys of facts that hold more rows than a task should are spread, see salted. ``how``: inner, left, left_semi or
+    left_anti. dim is read once to be measured, facts once to be counted if dim isn't small."""
     if is_small(dim):
         return facts.join(F.broadcast(dim), on, how)
-    salt = "_salt"
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]) if spread is None else spread
-    a = facts.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
-    b = dim.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*on, salt], how).drop(salt)
+    return salted(facts, dim, on, how, hot_keys(facts, on), spread)
+
+
+def rank_in_groups(df: DataFrame, group: list[str], order: list[str | Column], rank: str, size: str | None = None) -> DataFrame:
+    """Adds ``rank``, the row's place from 1 within its group by ``order``, and ``size``, the rows of the group, if named.
+    ``order`` has to be total, or equal rows get their places arbitrarily.
+
+    The rows are sorted by (group, order) into ranges and checkpointed, so a group with most of the rows spans many
+    ranges. Each range ranks its own rows; a group that spans ranges adds the rows of those before. As ranges are
+    consecutive, that table has at most two rows a range and may be broadcast."""
+    at = "_range"
+    x = cut(df.orderBy(*group, *order).withColumn(at, F.spark_partition_id()))
+    sizes = x.groupBy(at, *group).agg(F.count(F.lit(1)).alias("_c"))
+    pieces = sizes.groupBy(*group).agg(F.sum("_c").alias("_all"), F.sort_array(F.collect_list(F.struct(at, "_c"))).alias("_p"))  # ranges of a group
+    pieces = pieces.where(F.size("_p") > 1).select(*group, "_all", F.posexplode("_p").alias("_i", "_q"), "_p")
+    before = F.aggregate(F.slice("_p", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda s, p: s + p["_c"])
+    pieces = pieces.select(*[F.col(c).alias(f"_at_{c}") for c in group], F.col(f"_q.{at}").alias("_at"), before.alias("_before"), "_all")
+    own = Window.partitionBy(at, *group)
+    x = x.withColumn(rank, F.row_number().over(own.orderBy(*order)).cast("long"))
+    if size:
+        x = x.withColumn(size, F.count(F.lit(1)).over(own))
+    on = reduce(lambda p, q: p & q, [F.col(at) == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in group]])
+    x = x.join(F.broadcast(pieces), on, "left").withColumn(rank, F.col(rank) + F.coalesce("_before", F.lit(0)))
+    if size:
+        x = x.withColumn(size, F.coalesce("_all", F.col(size)))
+    return x.select(*df.columns, rank, *([size] if size else []))
 
 
 def running_total(

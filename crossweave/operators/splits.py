@@ -1,5 +1,5 @@
-"""Reproducible splits and thinning. Randomness is an arithmetic hash of the row's ids and a seed, so the result doesn't
-hang on partitioning, and no user's rows are one task's work."""
+"""Reproducible splits and thinning. Randomness is a hash of seed, purpose and the row's ids, so the result doesn't hang on
+partitioning, two seeds have nothing in common, and no user's rows are one task's work."""
 
 from __future__ import annotations
 
@@ -9,55 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MODULUS = 1_000_003
-#: Rows of one group that one window partition ranks, about.
-RANK_ROWS = 50_000
+from crossweave.functions.hashing import seeded_hash
+from crossweave.operators.scale import lookup, rank_in_groups
 
 
-def order_hash(seed: int, uid: str | Column = "uid", iid: str | Column = "iid") -> Column:
-    """Hash of a pair in [0, MODULUS)."""
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    return F.pmod(col(uid) * 7919 + col(iid) * 104729 + F.lit(seed * 31), F.lit(MODULUS))
+def split_hash(seed: int | str) -> Column:
+    """The order of a split."""
+    return seeded_hash(seed, "split", "uid", "iid")
 
 
-def step_seed(seed: int, step: int) -> int:
-    """A seed in [0, MODULUS) for a step, mixed multiplicatively, so that steps and seeds don't run into each other."""
-    x = (seed * 0x9E3779B97F4A7C15 + step * 0xBF58476D1CE4E5B9 + 0x94D049BB133111EB) % 2**64
-    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ x >> 30) * k % 2**64
-    return (x ^ x >> 31) % MODULUS
-
-
-def shuffle_hash(seed: int, step: int, *cols: str) -> Column:
-    """Hash of ids in [0, MODULUS) whose order in one step says nothing about that in another; order_hash only shifts."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *cols), F.lit(MODULUS))
-
-
-def ranked(df: DataFrame, group: list[str], seed: int, hashed: Column | None = None) -> DataFrame:
-    """Adds n, the rows of the group, and rn, the row's place in it by (hash, uid, iid), from 1. A group of many rows is
-    cut into ranges of the hash: each range is ranked alone and starts at the number of rows in those before it. The hash
-    is order_hash, or ``hashed`` in [0, MODULUS)."""
-    x = df.withColumn("_h", order_hash(seed) if hashed is None else hashed)
-    sizes = x.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    x = x.join(sizes, group) if group else x.withColumn("n", sizes.scalar())
-    x = x.withColumn("_b", F.floor(F.col("_h") * F.ceil(F.col("n") / RANK_ROWS) / MODULUS))
-    ranges = x.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    before = ranges.select(*group, "_b", (F.sum("_c").over(w) - F.col("_c")).alias("_before"))
-    mine = Window.partitionBy(*group, "_b").orderBy("_h", "uid", "iid")
-    return x.join(before, [*group, "_b"]).withColumn("rn", F.col("_before") + F.row_number().over(mine)).drop("_h", "_b", "_before")
+def ranked(df: DataFrame, group: list[str], hashed: Column) -> DataFrame:
+    """Adds n, the rows of the group, and rn, the row's place in it by (hashed, uid, iid), from 1; see rank_in_groups for
+    how a group with most of the rows is spread."""
+    x = rank_in_groups(df.withColumn("_h", hashed), group, ["_h", "uid", "iid"], "rn", "n")
+    return x.drop("_h")
 
 
 def _two_picks(df: DataFrame, order: list[Column]) -> DataFrame:
     """df with split: of each user's positives the first by ``order`` is the test row if there are two or more, and the
-    second the validation row if there are three or more; all else is train. Each task keeps two rows a user before
+    second the validation row if there are three or more; all else is train. Each task keeps three rows a user before
     rows meet by user, and the picks go back by (uid, iid), so a user with most rows is spread out. Equal rows are told
     apart by their number."""
     x = df.withColumn("_d", F.row_number().over(Window.partitionBy("uid", "iid", "r").orderBy(*order)))
-    pos = x.where("r = 1")
-    picks = pos.withColumn("_k", F.row_number().over(Window.partitionBy("uid").orderBy(*order, "_d"))).where("_k <= 2")
-    n = pos.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"))
-    picks = picks.join(n, "uid").select("uid", "iid", F.lit(1).alias("r"), "_d", F.when((F.col("_k") == 1) & (F.col("_n") >= 2), "test").when((F.col("_k") == 2) & (F.col("_n") >= 3), "val").alias("_s"))
+    mine = Window.partitionBy("uid")
+    first = x.where("r = 1").withColumn("_k", F.row_number().over(mine.orderBy(*order, "_d"))).where("_k <= 3")
+    label = F.when((F.col("_k") == 1) & (F.col("_n") >= 2), "test").when((F.col("_k") == 2) & (F.col("_n") >= 3), "val")
+    picks = first.withColumn("_n", F.max("_k").over(mine)).select("uid", "iid", F.lit(1).alias("r"), "_d", label.alias("_s")).where("_s is not null")
     return x.join(picks, ["uid", "iid", "r", "_d"], "left").withColumn("split", F.coalesce("_s", F.lit("train"))).select(*df.columns, "split")
 
 
@@ -74,7 +51,7 @@ class LeaveOneOut:
         self.seed = seed
 
     def split(self, df: DataFrame) -> DataFrame:
-        return _two_picks(df, [order_hash(self.seed), F.col("iid")])
+        return _two_picks(df, [split_hash(self.seed), F.col("iid")])
 
 
 class LeaveLastOut:
@@ -97,10 +74,10 @@ class PercentSplit:
         self.seed, self.val_size, self.test_size, self.user_level = seed, val_size, test_size, user_level
 
     def split(self, df: DataFrame) -> DataFrame:
-        x = ranked(df, ["uid", "r"] if self.user_level else ["r"], self.seed)
+        x = ranked(df, ["uid", "r"] if self.user_level else ["r"], split_hash(self.seed))
         if self.user_level:
             quota = lambda n, f: F.when(n > 1, F.greatest(F.lit(1), F.floor(n * f))).otherwise(0)
-            x = x.join(df.where("r = 1").select("uid").distinct().withColumn("_any", F.lit(True)), "uid", "left")
+            x = lookup(x, df.where("r = 1").select("uid").distinct().withColumn("_any", F.lit(True)), ["uid"], "left")
         else:
             quota = lambda n, f: F.floor(n * f)
             x = x.withColumn("_any", F.lit(True))
@@ -120,7 +97,7 @@ def thin_shared(df: DataFrame, keep: float, n_shared: int, seed: int) -> DataFra
     others = df.where(F.col("uid") >= n_shared)
     if keep == 0:
         return others
-    kept = ranked(df.where(F.col("uid") < n_shared), ["uid"], seed).where(F.col("rn") <= F.bround(F.lit(float(keep)) * F.col("n")))
+    kept = ranked(df.where(F.col("uid") < n_shared), ["uid"], seeded_hash(seed, "thin", "uid", "iid")).where(F.col("rn") <= F.bround(F.lit(float(keep)) * F.col("n")))
     return kept.select(*df.columns).unionByName(others)
 
 

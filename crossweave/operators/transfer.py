@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.operators.scale import is_small, lookup
+from crossweave.operators.scale import lookup, tasks_of
 
-#: Users whose product with all items may be made at once.
-MAX_PRODUCT_USERS = 10_000
 #: Items of a block.
 ITEM_BLOCK = 4096
 
@@ -37,9 +35,10 @@ def transfer_candidates(top: DataFrame, users: DataFrame, sim: DataFrame) -> Dat
 
 
 def lookup_many(mine: DataFrame, sim: DataFrame) -> DataFrame:
-    """mine joined with the targets of src_iid, gathered in lists so that each row meets one."""
-    lists = sim.groupBy("src_iid").agg(F.collect_list("tgt_iid").alias("_t"))
-    return lookup(mine, lists, ["src_iid"]).select("uid", F.explode("_t").alias("tgt_iid"))
+    """mine joined with the targets of src_iid, gathered in lists of one item block each, so that no list grows with the
+    paths of an item."""
+    lists = sim.groupBy("src_iid", F.floor(F.col("tgt_iid") / ITEM_BLOCK).alias("_block")).agg(F.collect_list("tgt_iid").alias("_t"))
+    return lookup(mine, lists.drop("_block"), ["src_iid"]).select("uid", F.explode("_t").alias("tgt_iid"))
 
 
 def transfer_pairs(candidates: DataFrame, tgt_matrix: DataFrame) -> DataFrame:
@@ -48,23 +47,16 @@ def transfer_pairs(candidates: DataFrame, tgt_matrix: DataFrame) -> DataFrame:
 
 
 def negative_candidates(users: DataFrame, items: DataFrame, tgt_matrix: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(uid, iid): all items for each of users but their target positives and transfer items. users has to be a batch,
-    which is measured, since its product with all items is made."""
-    if not is_small(users, MAX_PRODUCT_USERS):
-        raise ValueError(f"more than {MAX_PRODUCT_USERS} users")
-    known = tgt_matrix.select("uid", "iid").unionByName(pairs.select("uid", "iid"))
-    return items.select("iid").join(F.broadcast(users.select("uid"))).select("uid", "iid").join(known, ["uid", "iid"], "left_anti")
-
-
-def all_negative_candidates(users: DataFrame, items: DataFrame, tgt_matrix: DataFrame, pairs: DataFrame) -> DataFrame:
-    """negative_candidates of any number of users. Each user meets each block of items once, as an array, and what the
-    user has in that block is taken out of it: the product never goes through a shuffle, only to the result."""
+    """(uid, iid): all items for each of users but their target positives and transfer items, for any number of users.
+    Each user meets each block of items once, as an array, and what the user has in that block is taken out of it: the
+    product never goes through a shuffle, only to the result."""
     block = F.floor(F.col("iid") / ITEM_BLOCK).alias("_block")
     users, items = users.select("uid").distinct(), items.select("iid").distinct()
     known = tgt_matrix.select("uid", "iid").unionByName(pairs.select("uid", "iid")).join(users, "uid", "left_semi")
-    known = known.groupBy("uid", block).agg(F.collect_set("iid").alias("_known"))
+    known = known.groupBy("uid", block).agg(F.collect_set("iid").alias("_known"))  # ITEM_BLOCK items at most
     blocks = items.groupBy(block).agg(F.collect_list("iid").alias("_items"))
-    spread = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows become many: all tasks expand them
-    met = users.crossJoin(F.broadcast(blocks.select("_block"))).repartition(spread, "uid", "_block").join(known, ["uid", "_block"], "left")
+    last = items.agg(F.coalesce(F.max(F.floor(F.col("iid") / ITEM_BLOCK)), F.lit(-1)).alias("_last")).scalar()
+    met = users.withColumn("_last", last).where("_last >= 0").select("uid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_block"))
+    met = met.repartition(tasks_of(users.sparkSession), "uid", "_block").join(known, ["uid", "_block"], "left")  # few small rows become many
     left = F.when(F.col("_known").isNull(), F.col("_items")).otherwise(F.array_except("_items", "_known"))
     return lookup(met, blocks, ["_block"]).select("uid", F.explode(left).alias("iid"))

@@ -7,24 +7,20 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.functions.feedback import implicit
+from crossweave.functions.hashing import seeded_hash
 from crossweave.operators import indexing, matrices, negatives, ranking, scoring, splits, transfer
-from crossweave.operators.scale import shared_folder, table
+from crossweave.operators.scale import shared_folder, table, tasks_of
 from crossweave.sources.store import Store, config_key
 
 # Product types of the source domain; the remainders of customers that one domain lacks.
 SRC_TYPES = ("PROMO", "ECONOMY", "MEDIUM", "SMALL")
 SRC_LACKS, TGT_LACKS = 1, 2
-POSITIVE = 4
 DRAWS, KEPT, TRAIN_DRAWS = 150, 100, 3
 GLOBAL_BIAS = 0.5
 P_AXIOM1, P_AXIOM2, P_SAT = 7, 4, 2
 
 
-def implicit(rating):
-    """1 for ratings of POSITIVE or more, else 0, for null and NaN too."""
-    return F.when((rating >= POSITIVE) & ~F.isnan(rating), 1).otherwise(0)
-
-
 class Fixture:
     """Frames of one folder. Those that many queries share are written once as tables in the shared folder; that also
     keeps plans short and gives them true sizes. Another session or folder has tables of its own."""
@@ -109,7 +105,7 @@ class Fixture:
         """(n1_asin, n2_asin) as text in JSON and back: parts of both domains of one brand and like size."""
         p = table(self.spark, self.folder, "part").select("p_partkey", "p_brand", "p_size", F.col("p_type").isin(*SRC_TYPES).alias("src"))
         side = lambda cond, n: p.where(cond).select(self._item("p_partkey").alias(f"n{n}_asin"), "p_brand", F.col("p_size").alias(f"s{n}"))
-        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # the few parts have many pairs: all tasks expand them
+        spread = tasks_of(self.spark)  # the few parts have many pairs: all tasks expand them
         x = side("src", 1).repartition(spread, "n1_asin").join(side("not src", 2), "p_brand").where("abs(s1 - s2) <= 5")
         text = x.select(F.to_json(F.struct("n1_asin", "n2_asin")).alias("line"))
         return text.select(F.from_json("line", "n1_asin string, n2_asin string").alias("j")).select("j.*")
@@ -218,9 +214,9 @@ class Fixture:
 def reg_batch(f: Fixture, size: int, seed: int) -> DataFrame:
     """(reg_uid, reg_pos, reg_neg): ``size`` transfer users, or all if there are fewer, each with one transfer item and one
     negative candidate, all by hash. The candidates of so few users are made, not those of all."""
-    users = f.pairs.select("uid").distinct().orderBy(splits.order_hash(seed, "uid", F.lit(0)), "uid").limit(size)
+    users = f.pairs.select("uid").distinct().orderBy(seeded_hash(seed, "axiom", "uid"), "uid").limit(size)
     pairs = f.pairs.join(F.broadcast(users), "uid", "left_semi")
-    first = lambda df, out: df.groupBy("uid").agg(F.min_by("iid", F.struct(splits.order_hash(seed), F.col("iid"))).alias(out))
+    first = lambda df, out: df.groupBy("uid").agg(F.min_by("iid", F.struct(seeded_hash(seed, "axiom", "uid", "iid"), F.col("iid"))).alias(out))
     neg = transfer.negative_candidates(users, f.items["tgt"], f.matrix_no_shared, pairs)
     x = first(pairs, "reg_pos").join(first(neg, "reg_neg"), "uid")
     return x.select(F.col("uid").alias("reg_uid"), "reg_pos", "reg_neg")

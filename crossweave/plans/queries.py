@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossweave.functions.feedback import implicit
 from crossweave.operators import indexing, logic, matrices, metrics, negatives, ranking, scoring, splits, transfer
 from crossweave.operators.scale import table
-from crossweave.plans.fixture import P_AXIOM1, P_AXIOM2, P_SAT, fixture, implicit, reg_batch
+from crossweave.plans.fixture import P_AXIOM1, P_AXIOM2, P_SAT, fixture, reg_batch
 from crossweave.training import batches, sweep
 from crossweave.training.steps import ltn_step, mf_step
 
@@ -153,16 +154,12 @@ def mf_score_sigmoid(spark, d):
 
 
 def src_scores(spark, d):
-    return fixture(spark, d).top_scores(F.lit(50)).select("uid", "iid", "score")
+    """Scores of the first 2n items of warm users with n positives, the depth that the pipeline cuts from."""
+    return fixture(spark, d).top_scores(2 * F.col("n_pos")).select("uid", "iid", "score")
 
 
 def src_ranking(spark, d):
-    return fixture(spark, d).top_scores(F.lit(50)).select("uid", "iid", "rank")
-
-
-def src_ranking_2n(spark, d):
-    """The first 2n places of warm users with n positives, the depth that the pipeline cuts from."""
-    return fixture(spark, d).top_scores(2 * F.col("n_pos"))
+    return fixture(spark, d).ranking.select("uid", "iid", "rank")
 
 
 def ndcg_curve(spark, d):
@@ -197,17 +194,10 @@ def transfer_pairs_retained(spark, d):
     return transfer.transfer_pairs(transfer.transfer_candidates(f.top, transfer_users(spark, d), f.sim), f.matrix["tgt"])
 
 
-def reg_negative_candidates_all(spark, d):
-    """Of every transfer user; without SQL, as the result is nearly all users times all items."""
-    f = fixture(spark, d)
-    return transfer.all_negative_candidates(f.pairs.select("uid"), f.items["tgt"], f.matrix_no_shared, f.pairs)
-
-
 def reg_negative_candidates(spark, d):
-    """Of the first ten transfer users, a sample to compare with SQL; reg_negative_candidates_all has every user's."""
+    """Of every transfer user."""
     f = fixture(spark, d)
-    users = f.pairs.select("uid").distinct().orderBy("uid").limit(10)
-    return transfer.negative_candidates(users, f.items["tgt"], f.matrix_no_shared, f.pairs)
+    return transfer.negative_candidates(f.pairs.select("uid"), f.items["tgt"], f.matrix_no_shared, f.pairs)
 
 
 def neg_draws(spark, d):
@@ -336,8 +326,8 @@ def queries():
         scan_ratings, scan_kg_paths, implicit_feedback, shared_users, exclusive_users, user_index_src, user_index_tgt, item_index, item_index_first_seen,
         item_universe, ratings_indexed, dataset_stats, split_leave_one_out, split_leave_last_out, split_percent_user, split_percent_stratified, test_shared_only,
         train_no_shared, train_all_shared, train_thinned, eval_positives, ui_matrix, ui_matrix_no_shared, user_pos_counts, sim_pairs, sim_missing_items,
-        sim_adjacency, warm_users, cold_users, transfer_users, mf_score, mf_score_sigmoid, src_scores, src_ranking, src_ranking_2n, ndcg_curve, best_k, best_k_closed_form,
-        src_topk, transfer_candidates, transfer_pairs, transfer_pairs_retained, reg_negative_candidates, reg_negative_candidates_all, neg_draws, train_negatives, eval_negatives,
+        sim_adjacency, warm_users, cold_users, transfer_users, mf_score, mf_score_sigmoid, src_scores, src_ranking, ndcg_curve, best_k, best_k_closed_form,
+        src_topk, transfer_candidates, transfer_pairs, transfer_pairs_retained, reg_negative_candidates, neg_draws, train_negatives, eval_negatives,
         eval_candidates, eval_pairs, ndcg_at_k, hit_at_k, auc_user_macro, eval_summary, dist_predicate, bpr_loss, forall_axiom1, forall_axiom2, sat_agg,
         epoch_batches, epoch_batch_count, epoch_summary, early_stop_trace, seed_summary, mf_train_step, ltn_train_step, sweep_trials,
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from crossweave.plans.fixture import DRAWS, GLOBAL_BIAS, KEPT, P_AXIOM1, P_AXIOM2, P_SAT, SRC_LACKS, SRC_TYPES, TGT_LACKS, TRAIN_DRAWS
 
-MOD = 1_000_003
 _TYPES = ", ".join(f"'{t}'" for t in SRC_TYPES)
 
 
-def _hash(uid: str = "uid", iid: str = "iid", seed: int = 0) -> str:
-    return f"(({uid} * 7919 + {iid} * 104729 + {seed * 31}) % {MOD})"
+def _hash(salt: str, *ids: str, seed: int = 0) -> str:
+    """As functions.hashing.seeded_hash."""
+    return f"cast('0x' || substr(md5('{seed}|{salt}|' || " + " || '|' || ".join(ids or ("uid", "iid")) + "), 1, 15) as bigint)"
 
 
 def _domain(d: str, cond: str, lacks: int) -> list[tuple[str, str]]:
@@ -18,7 +18,7 @@ def _domain(d: str, cond: str, lacks: int) -> list[tuple[str, str]]:
         (f"users_{d}", f"select u as userId, row_number() over (order by sh desc, u) - 1 as uid, sh as is_shared from (select distinct userId as u, userId in (select userId from raw_{other}) as sh from raw_{d})"),
         (f"items_{d}", f"select itemId, row_number() over (order by itemId) - 1 as iid from (select distinct itemId from raw_{d})"),
         (f"rated_{d}", f"select uid, iid, cast(case when rating >= 4 and not isnan(rating) then 1 else 0 end as integer) as r, dt from raw_{d} join users_{d} using (userId) join items_{d} using (itemId)"),
-        (f"split_{d}", _loo(f"rated_{d}", f"{_hash()}, iid")),
+        (f"split_{d}", _loo(f"rated_{d}", f"{_hash('split')}, iid")),
         (f"matrix_{d}", f"select uid, iid, cast(sum(r) as bigint) as cnt from split_{d} where r = 1 and split = 'train' group by 1, 2"),
     ]
 
@@ -42,7 +42,7 @@ def _scored(pairs: str, d: str, biased: bool = True, item: str = "iid", out: str
 def _draws(positives: str, seed: int, m: int) -> str:
     n = "(select count(*) from items_tgt)"
     return f"""select d.uid, pos_iid, cast(draw as integer) as draw, iid, cast(m.uid is not null as integer) as is_false from (
-select uid, pos_iid, draw, (((uid * 7919 + pos_iid * 104729 + draw * 1299709 + {seed * 31}) % {MOD}) * 7 + draw * 13) % {n} as iid
+select uid, pos_iid, draw, {_hash('draw', 'uid', 'pos_iid', 'draw', seed=seed)} % {n} as iid
 from {positives}, range({m}) t(draw)) d left join matrix_tgt m using (uid, iid)"""
 
 
@@ -76,7 +76,7 @@ def _softplus(d: str) -> str:
 def _percent(part: str, quota: str, any_: str) -> str:
     return f"""select uid, iid, r, case when not {any_} then 'train' when rn <= qt then 'test' when rn <= qt + qv then 'val' else 'train' end as split from (
 select *, {quota.format(n='n - qt', f=0.25)} as qv from (select *, {quota.format(n='n', f=0.2)} as qt from (
-select uid, iid, r, row_number() over (partition by {part} order by {_hash()}, uid, iid) as rn, count(*) over (partition by {part}) as n, max(r) over (partition by uid) = 1 as has from rated_src)))"""
+select uid, iid, r, row_number() over (partition by {part} order by {_hash('split')}, uid, iid) as rn, count(*) over (partition by {part}) as n, max(r) over (partition by uid) = 1 as has from rated_src)))"""
 
 
 _SIDE = "select 'A' || lpad(cast(p_partkey as varchar), 9, '0') as n{0}_asin, p_brand, p_size from part where p_type {1} in ({2})"
@@ -104,10 +104,10 @@ select *, sum(rel / log2(rank + 1)) over w as g, sum(case when rank <= n_pos the
     ("cands", _candidates(0, True)),
     ("negs", _first_true(0)),
     ("triples", _triples("negs")),
-    ("reg_users", f"select distinct uid from cand order by {_hash(iid='0')}, uid limit 256"),
+    ("reg_users", f"select distinct uid from cand order by {_hash('axiom', 'uid')}, uid limit 256"),
     ("reg_neg", "select uid, iid from reg_users, items_tgt where (uid, iid) not in (select uid, iid from cand union all select uid, iid from matrix_tgt where uid >= (select n from shared))"),
-    ("reg", f"""select a.uid, pos_iid, neg_iid from (select uid, arg_min(iid, {_hash()} * 1000000 + iid) as pos_iid from cand where uid in (select uid from reg_users) group by 1) a
-join (select uid, arg_min(iid, {_hash()} * 1000000 + iid) as neg_iid from reg_neg group by 1) b on a.uid = b.uid"""),
+    ("reg", f"""select a.uid, pos_iid, neg_iid from (select uid, arg_min(iid, {_hash('axiom')}) as pos_iid from cand where uid in (select uid from reg_users) group by 1) a
+join (select uid, arg_min(iid, {_hash('axiom')}) as neg_iid from reg_neg group by 1) b on a.uid = b.uid"""),
     ("reg_triples", _triples("reg")),
 ]
 
@@ -130,7 +130,7 @@ def _query(body: str) -> str:
 
 
 _QUOTA = "(case when {n} > 1 then greatest(1, floor(({n}) * {f})) else 0 end)"
-_THIN = f"select uid, iid, r from (select *, row_number() over (partition by uid order by {_hash()}, uid, iid) as rn, count(*) over (partition by uid) as n from split_tgt where split = 'train') where uid >= (select n from shared)"
+_THIN = f"select uid, iid, r from (select *, row_number() over (partition by uid order by {_hash('thin')}, uid, iid) as rn, count(*) over (partition by uid) as n from split_tgt where split = 'train') where uid >= (select n from shared)"
 _SHARED_ONLY = "uid < (select n from shared)"
 BODIES = {
     "scan_ratings": "select userId, itemId, rating from raw_src",
@@ -165,8 +165,8 @@ BODIES = {
     "transfer_users": "select uid from warm where uid in (select uid from cold)",
     "mf_score": _scored("(select uid, iid from split_src where split = 'test')", "src"),
     "mf_score_sigmoid": f"select uid, iid, round(1 / (1 + exp(-score)), 6) as score from ({_scored(chr(40) + 'select uid, iid from split_src where split = ' + chr(39) + 'test' + chr(39) + chr(41), 'src')})",
-    "src_scores": "select uid, iid, score from ranks where rank <= 50",
-    "src_ranking": "select uid, iid, rank from ranks where rank <= 50",
+    "src_scores": "select uid, iid, score from ranks where rank <= 2 * n_pos",
+    "src_ranking": "select uid, iid, rank from rels",
     "ndcg_curve": "select uid, k, ndcg from curve",
     "best_k": "select uid, n_pos, cast(k as integer) as best_k from (select *, row_number() over (partition by uid order by ndcg desc, k) as o from curve) where o = 1",
     "best_k_closed_form": "select * from best",
@@ -174,7 +174,7 @@ BODIES = {
     "transfer_candidates": "select * from cand",
     "transfer_pairs": "select * from cand",
     "transfer_pairs_retained": "select uid, iid from cand where uid in (select uid from cold) and (uid, iid) not in (select uid, iid from matrix_tgt)",
-    "reg_negative_candidates": "select uid, iid from (select distinct uid from cand order by uid limit 10), items_tgt where (uid, iid) not in (select uid, iid from cand)",
+    "reg_negative_candidates": "select uid, iid from (select distinct uid from cand), items_tgt where (uid, iid) not in (select uid, iid from cand)",
     "neg_draws": _draws("positives", 0, DRAWS),
     "train_negatives": "select * from negs",
     "eval_negatives": f"select uid, pos_iid, slot, iid from (select *, cast(row_number() over (partition by uid, pos_iid order by is_false, draw) as integer) as slot from ({_draws('positives', 0, DRAWS)})) where slot <= {KEPT}",
@@ -189,12 +189,12 @@ BODIES = {
     "forall_axiom1": f"select round(sat, 6) as sat from ({_sat('triples', P_AXIOM1)})",
     "forall_axiom2": f"select round(sat, 6) as sat from ({_sat('reg_triples', P_AXIOM2)})",
     "sat_agg": f"select round(s, 6) as sat, round(1 - s, 6) as loss from (select 1 - pow((pow(1 - a.sat, {P_SAT}) + pow(1 - b.sat, {P_SAT})) / 2, 1.0 / {P_SAT}) as s from ({_sat('triples', P_AXIOM1)}) a, ({_sat('reg_triples', P_AXIOM2)}) b)",
-    "epoch_batches": f"select uid, iid, (row_number() over (order by {_hash()}, uid, iid) - 1) // 256 as batch from matrix_src",
+    "epoch_batches": f"select uid, iid, (row_number() over (order by {_hash('batch 0')}, uid, iid) - 1) // 256 as batch from matrix_src",
     "epoch_batch_count": "select cast(ceil(count(*) / 256) as bigint) as n_batches from matrix_src",
     "reg_batch": "select uid as reg_uid, pos_iid as reg_pos, neg_iid as reg_neg from reg",
     "epoch_summary": " union all ".join(
         f"""select {e} as epoch, round(avg(l), 6) as loss, round(avg(s), 6) as sat from (select batch, avg({_softplus('pos_score - neg_score')}) as l, 1 - pow(avg(pow(1 - 1 / (1 + exp(-(pos_score - neg_score))), {P_AXIOM1})), 1.0 / {P_AXIOM1}) as s
-from ({_triples(f'({_first_true(e)})')}) t join (select uid, iid as pos_iid, (row_number() over (order by {_hash(seed=e)}, uid, iid) - 1) // 256 as batch from matrix_tgt) b using (uid, pos_iid) group by 1)"""
+from ({_triples(f'({_first_true(e)})')}) t join (select uid, iid as pos_iid, (row_number() over (order by {_hash(f'batch {e}')}, uid, iid) - 1) // 256 as batch from matrix_tgt) b using (uid, pos_iid) group by 1)"""
         for e in range(3)
     ),
     "early_stop_trace": """select epoch, score, best_so_far, flat_epochs, stopped from (select *, flat_epochs > 5 as stopped, min(case when flat_epochs > 5 then epoch end) over () as stop from (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.plans.fixture import implicit
+from crossweave.functions.feedback import implicit
 from crossweave.sources.readers import PATHS, RATINGS
 
 

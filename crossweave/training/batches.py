@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossweave.functions.hashing import seeded_hash
 from crossweave.operators import logic, splits
 
 
-def epoch_batches(positives: DataFrame, size: int, epoch: int, hashed: Column | None = None) -> DataFrame:
-    """(uid, iid, batch): the epoch's shuffle by hash, cut into batches. Ranked in ranges of the hash, not in one task."""
-    return splits.ranked(positives, [], epoch, hashed).select("uid", "iid", F.floor((F.col("rn") - 1) / size).alias("batch"))
+def epoch_batches(positives: DataFrame, size: int, epoch: int, seed: int | str = 0) -> DataFrame:
+    """(uid, iid, batch): the epoch's own shuffle by hash, cut into batches. Ranked in ranges of the hash, not in one task."""
+    ranked = splits.ranked(positives, [], seeded_hash(seed, f"batch {epoch}", "uid", "iid"))
+    return ranked.select("uid", "iid", F.floor((F.col("rn") - 1) / size).alias("batch"))
 
 
 def batch_count(positives: DataFrame, size: int) -> DataFrame:

@@ -36,9 +36,10 @@ def test_running_total(spark):
     assert scale.running_total(df.limit(0), ["p"], [], "h", ["id"], F.lit(1), "n").count() == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("small,hot", [(True, 500_000), (False, 500_000), (False, 20)])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_either_way(spark, monkeypatch, small, how):
+def test_lookup_either_way(spark, monkeypatch, small, hot, how):
+    monkeypatch.setattr(scale.hot_keys, "__defaults__", (hot,))
     monkeypatch.setattr(scale, "is_small", lambda df: small)
     facts = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(300)] + [(1000, None)], "id int, key string")
     dim = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "key string, x int")
@@ -50,3 +51,9 @@ def test_measured(spark):
     df = spark.createDataFrame([("abc", [1, 2]), (None, None)], T.StructType([T.StructField("a b", T.StringType()), T.StructField("c", T.ArrayType(T.IntegerType()))]))
     n, size = scale.measured(df)
     assert n == 2 and size > 64 and scale.measured(df.limit(0)) == (0, 0)
+
+
+def test_hot_keys(spark):
+    facts = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(300)], "id int, key string")
+    assert [tuple(r) for r in scale.hot_keys(facts, ["key"], 20).collect()] == [("hot", 3)]  # more than 300 rows / 4 tasks
+    assert scale.hot_keys(facts, ["key"]).count() == 0 and scale.hot_keys(facts.limit(0), ["key"], 1).count() == 0

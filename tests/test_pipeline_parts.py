@@ -10,7 +10,10 @@ import pytest
 
 from crossweave.operators import indexing, logic, matrices, metrics, negatives, ranking, scoring, splits, transfer
 from crossweave.plans import queries
-from crossweave.plans.fixture import fixture, implicit
+from crossweave.training import batches
+from crossweave.functions.feedback import implicit
+from crossweave.functions.hashing import seeded_hash
+from crossweave.plans.fixture import fixture
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -65,12 +68,38 @@ def test_percent(spark):
         splits.PercentSplit(0, 0.6, 0.5)
 
 
-def test_ranked_in_ranges(spark, monkeypatch):
-    df = spark.createDataFrame([(u, i, 1) for u in range(3) for i in range(200 * (u == 0) + 5)], "uid long, iid long, r int")
-    whole = _rows(splits.ranked(df, ["uid"], 1), "uid", "iid", "rn", "n")
-    monkeypatch.setattr(splits, "RANK_ROWS", 20)
-    assert _rows(splits.ranked(df, ["uid"], 1), "uid", "iid", "rn", "n") == whole
-    assert sorted(r.rn for r in splits.ranked(df, [], 1).collect()) == list(range(1, df.count() + 1))
+def test_ranked_in_ranges(spark):
+    df = spark.createDataFrame([(u, i, 1) for u in range(3) for i in range(2000 * (u == 0) + 5)], "uid long, iid long, r int")
+    h = {(r.uid, r.iid): r.h for r in df.withColumn("h", seeded_hash(1, "x", "uid", "iid")).collect()}
+    assert len(set(h.values())) == len(h) and all(0 <= x < 1 << 60 for x in h.values())
+    for group in (["uid"], [], ["uid", "r"]):
+        got = splits.ranked(df.repartition(7), group, seeded_hash(1, "x", "uid", "iid")).collect()
+        for u in range(3) if group else [None]:
+            mine = sorted((r for r in got if u in (None, r.uid)), key=lambda r: h[r.uid, r.iid])
+            assert [r.rn for r in mine] == list(range(1, len(mine) + 1)) and {r.n for r in mine} == {len(mine)}
+    assert splits.ranked(df.limit(0), ["uid"], seeded_hash(1, "x", "uid", "iid")).count() == 0
+
+
+def test_seeds_share_no_more_than_chance(spark):
+    n = 20
+    df = spark.range(300).selectExpr("id as uid").join(spark.range(n).selectExpr("id as iid")).withColumn("r", F.lit(1))
+    pick = lambda s: {(r.uid, r.iid) for r in splits.LeaveOneOut(s).split(df).where("split = 'test'").collect()}
+    assert len(pick(0)) == 300 and pick(0) == pick(0) and len(pick(0) & pick(1)) < 2.5 * 300 / n
+    b = lambda e, s: {(r.uid, r.iid) for r in batches.epoch_batches(df, 600, e, s).where("batch = 0").collect()}
+    first = b(0, 0)
+    for other in (b(1, 0), b(0, 1)):
+        assert len(first) == 600 and 20 < len(first & other) < 110  # 60 by chance
+
+
+def test_draws_reach_all_items_evenly(spark):
+    pos = spark.range(400).selectExpr("id as uid", "id * 3 as pos_iid")
+    none = spark.createDataFrame([], "uid long, iid long")
+    n = 20_000_000
+    got = [r.iid for r in negatives.draws(pos, none, n, 50, 0).collect()]
+    counts = np.bincount([x * 20 // n for x in got], minlength=20)
+    assert len(counts) == 20 and ((counts - 1000) ** 2 / 1000).sum() < 50  # chi-square with 19 degrees of freedom
+    again = [r.iid for r in negatives.draws(pos, none, n, 50, 1).collect()]
+    assert len(set(got) & set(again)) < 40
 
 
 def test_thinning(spark):
@@ -111,20 +140,19 @@ def test_auc_and_empty_summary(spark):
 @pytest.mark.parametrize("block", [3, 4096])
 def test_candidates_of_all_users(spark, monkeypatch, block):
     monkeypatch.setattr(transfer, "ITEM_BLOCK", block)
-    monkeypatch.setattr(transfer, "MAX_PRODUCT_USERS", 5)
     rng = random.Random(6)
     some = lambda n: {(rng.randint(0, 29), rng.randint(0, 19)) for _ in range(n)}
     rated, pairs = some(80) | {(4, i) for i in range(20)}, some(60)
     frame = lambda x: spark.createDataFrame(sorted(x), "uid long, iid long")
     users = spark.range(0, 24, 2).withColumnRenamed("id", "uid")
-    got = transfer.all_negative_candidates(users, spark.range(20).withColumnRenamed("id", "iid"), frame(rated), frame(pairs))
+    got = transfer.negative_candidates(users, spark.range(20).withColumnRenamed("id", "iid"), frame(rated), frame(pairs))
     assert _rows(got, "uid", "iid") == [(u, i) for u in range(0, 24, 2) for i in range(20) if (u, i) not in rated | pairs]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_ranking_query_has_2n_places(spark):
     f = fixture(spark, FOLDER)
-    places = {r.uid: r["count"] for r in queries.queries()["src_ranking_2n"](spark, FOLDER).groupBy("uid").count().collect()}
+    places = {r.uid: r["count"] for r in queries.queries()["src_ranking"](spark, FOLDER).groupBy("uid").count().collect()}
     assert places and places == {r.uid: min(2 * r.n_pos, f.n_items["src"]) for r in f.warm.collect()}
 
 
@@ -135,7 +163,7 @@ def test_candidate_query_has_every_transfer_user(spark):
     items = [r.iid for r in f.items["tgt"].collect()]
     users = {u for u, _ in pairs}
     assert len(users) > 10
-    assert _rows(queries.reg_negative_candidates_all(spark, FOLDER), "uid", "iid") == sorted((u, i) for u in users for i in items if (u, i) not in pairs | rated)
+    assert _rows(queries.reg_negative_candidates(spark, FOLDER), "uid", "iid") == sorted((u, i) for u in users for i in items if (u, i) not in pairs | rated)
 
 
 @pytest.mark.parametrize("hits,best", [((1, 4), 4), ((1, 2), 2), ((1, 5), 2), ((3, 9), 3)])
