@@ -10,7 +10,15 @@ select item_a, item_b from p join n a on a.i = item_a join n b on b.i = item_b,
 _SPLIT = f"s as (select row_id, dom, split, {key('userId')} as u, {key('itemId')} as i from split_ratings)"
 _MET = "from s a join s b on a.dom = b.dom and a.u = b.u and a.i = b.i and a.split = 'train' and b.split in ('val', 'test')"
 P4_FOUND = f"with {_SPLIT} select least(a.row_id, b.row_id) as row_a, greatest(a.row_id, b.row_id) as row_b {_MET}"
-P4_REPORT = f"""with {_SPLIT} select b.dom, b.split, count(distinct b.u || '|' || b.i) as n_records, count(distinct b.row_id) as n_rows, count(*) as n_pairs {_MET} group by 1, 2"""
+_SHINGLES = "list_distinct(list_transform(range(1, length({0}) + 1), lambda k: substr('^' || {0} || '$', k, 3)))"
+_JACCARD = "(case when a.{0} = b.{0} then 1.0 else len(list_intersect({1}, {2})) / len(list_distinct({1} || {2}))::double end)"
+_SIMILAR = " + ".join(f"0.4 * {_JACCARD.format(c, _SHINGLES.format(f'a.{c}'), _SHINGLES.format(f'b.{c}'))}" for c in "ui")
+P4_REPORT = f"""with s as (select row_id, dom, split, {key('userId')} as u, {key('itemId')} as i, r, epoch_us(ts) // 1000000 as t from split_ratings),
+d as (select a.row_id as x, b.row_id as y, b.dom, b.split, b.u, b.i, case when a.u = b.u and a.i = b.i then 'same' else 'near' end as kind,
+round({_SIMILAR} + case when a.t = b.t then 0.15 else 0 end + case when a.r = b.r then 0.05 else 0 end, 6) as v
+from s a join s b on a.dom = b.dom and a.split = 'train' and b.split in ('val', 'test') and a.u is not null and a.i is not null and b.u is not null and b.i is not null
+and ((a.u = b.u and a.i = b.i) or (a.t = b.t and (a.u = b.u or a.i = b.i))))
+select dom, split, kind, count(distinct u || '|' || i) as n_records, count(distinct y) as n_rows, count(*) as n_pairs, min(v) as least_similarity from d where v >= 0.8 group by 1, 2, 3"""
 _TOP = """with m as (select userId, itemId, max(score) as score from item_scores where isfinite(score) and userId is not null and itemId is not null group by 1, 2),
 r as (select *, cast(row_number() over (partition by userId order by score desc, itemId) as integer) as rank from m)"""
 P5_FOUND = f"{_TOP} select userId as user_key, itemId as item_key from r where rank <= 10"
