@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.functions.keys import with_keys
-from crossweave.operators.orphans import Edge, cascade, direct_orphans
+from crossweave.operators.orphans import COLUMNS, Edge, cascade, direct_orphans, inherited_chains
+from crossweave.operators.scale import cut
 
 # Fixed values: (table, field, domain of the parent, row key, time, whether the reference is a number).
 REFERENCES = (
@@ -45,39 +46,59 @@ def orphan_references(tables: dict[str, DataFrame]) -> DataFrame:
     return direct_orphans(references(tables), item_periods(tables["item_index"]), ["dom", "ref"])
 
 
-def _pair(df: DataFrame, row: str, dom, user: str, item: str) -> DataFrame:
-    x = with_keys(df, {"u": user, "i": item}, [df[row].alias("row_key"), dom.alias("d")])
-    return x.select("row_key", F.concat_ws("|", "d", F.col("u"), F.col("i")).alias("link"), (F.col("u").isNotNull() & F.col("i").isNotNull() & F.col("d").isNotNull()).alias("ok")).select(
-        "row_key", F.when(F.col("ok"), F.col("link")).alias("link")
-    )
+def _pair(df: DataFrame, row: str, dom, at: str, user: str, item: str) -> DataFrame:
+    x = with_keys(df, {"u": user, "i": item}, [df[row].alias("row_key"), dom.alias("d"), df[at].alias("at")])
+    ok = F.col("u").isNotNull() & F.col("i").isNotNull() & F.col("d").isNotNull()
+    return x.select("row_key", F.when(ok, F.concat_ws("|", "d", "u", "i")).alias("link"), "at")
 
 
-def orphan_records(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, row_key, kind, depth): records with a direct orphan reference, and those that inherit it.
+def _posts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").alias("row_key"), F.col("parent_id").alias("link"), F.col("posted_at").alias("at"))
+
+
+# The fields that inherited orphans of these tables refer by.
+SPLIT_FIELD, POST_FIELD = "userId, itemId", "parent_id"
+
+
+def orphan_fields(tables: dict[str, DataFrame], levels: int | None = None) -> DataFrame:
+    """(table_name, field_name, row_key, at, kind, depth) of all orphaned records, one row for each orphaned field.
 
     The graph: a split row comes from the rating rows of its domain, user and item; a forum post answers another post.
-    A post whose parent isn't there is direct, and so is what answers it, level by level, inherited."""
-    own = orphan_references(tables).select("table_name", "row_key")
-    docs = tables["documents"].select(F.col("doc_id").alias("row_key"), F.col("parent_id").alias("link"))
-    there = docs.select(F.col("row_key").alias("link")).where("link is not null").distinct()
-    lost = docs.where("link is not null").join(there, "link", "left_anti").select(F.lit("documents").alias("table_name"), "row_key")
-    split = _pair(tables["split_ratings"], "row_id", tables["split_ratings"]["dom"], "userId", "itemId")
-    links = {
-        Edge("split_ratings", "src_ratings"): (split, _pair(tables["src_ratings"], "row_id", F.lit("src"), "userId", "itemId")),
-        Edge("split_ratings", "tgt_ratings"): (split, _pair(tables["tgt_ratings"], "row_id", F.lit("tgt"), "userId", "itemId")),
-        Edge("documents", "documents"): (docs, docs.select("row_key", F.col("row_key").alias("link"))),
-    }
-    return cascade(own.unionByName(lost), links)
+    A post whose parent isn't there is direct, and so is what answers it, level by level, inherited. With levels = 0 only
+    direct references are looked for, without those of posts, which no other table lists."""
+    own = orphan_references(tables).select(*COLUMNS)
+    if levels == 0:
+        return cascade(own, {}, 0)
+    split_ratings = tables["split_ratings"]
+    split = _pair(split_ratings, "row_id", split_ratings["dom"], "ts", "userId", "itemId")
+    links = {Edge("split_ratings", f"{d}_ratings", SPLIT_FIELD): (split, _pair(tables[f"{d}_ratings"], "row_id", F.lit(d), "ts", "userId", "itemId").drop("at")) for d in ("src", "tgt")}
+    found = cascade(own, links, levels)
+    posts = _posts(tables["documents"])
+    there = posts.select(F.col("row_key").alias("link")).where("link is not null").distinct()
+    lost = cut(posts.where("link is not null").join(there, "link", "left_anti"))
+    chains = inherited_chains(posts, lost)
+    chains = chains if levels is None else chains.where(F.col("depth") <= levels)
+    label = lambda df, kind, depth: df.select(F.lit("documents").alias("table_name"), F.lit(POST_FIELD).alias("field_name"), "row_key", "at", F.lit(kind).alias("kind"), depth.alias("depth"))
+    return found.unionByName(label(lost, "direct", F.lit(0))).unionByName(label(posts.join(chains, "row_key"), "inherited", F.col("depth")))
+
+
+def orphan_records(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, row_key, kind, depth): records with a direct orphan reference, and those that inherit it."""
+    return orphan_fields(tables).select("table_name", "row_key", "kind", "depth").distinct()
 
 
 def orphan_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, field_name, month, n_refs, n_orphans) of the references that aren't absent; the month of a null
-    time is null. Both counts are combined on the map side."""
-    refs = references(tables).where("ref is not null").withColumn("bad", F.lit(0))
-    bad = orphan_references(tables).withColumn("bad", F.lit(1))
-    count = lambda df: df.groupBy("table_name", "field_name", F.date_format("at", "yyyy-MM").alias("month"), "bad").count()
-    both = count(refs).unionByName(count(bad))
-    return both.groupBy("table_name", "field_name", "month").agg(
-        F.sum(F.when(F.col("bad") == 0, F.col("count"))).alias("n_refs"),
-        F.coalesce(F.sum(F.when(F.col("bad") == 1, F.col("count"))), F.lit(0)).alias("n_orphans"),
-    )
+    """(table_name, field_name, month, n_refs, n_direct, n_inherited) of the references that aren't absent: how many there
+    are, how many lack their record, and how many belong to a record that inherits that from its parents. The month of a
+    null time is null. All counts are combined on the map side."""
+    month = F.date_format("at", "yyyy-MM").alias("month")
+    split_ratings = tables["split_ratings"]
+    split = _pair(split_ratings, "row_id", split_ratings["dom"], "ts", "userId", "itemId").select(F.lit("split_ratings").alias("table_name"), F.lit(SPLIT_FIELD).alias("field_name"), "link", "at")
+    posts = _posts(tables["documents"]).select(F.lit("documents").alias("table_name"), F.lit(POST_FIELD).alias("field_name"), "link", "at")
+    count = lambda df, kind: df.groupBy("table_name", "field_name", month, kind.alias("kind")).count()
+    parts = [
+        count(references(tables).where("ref is not null"), F.lit("any")), count(split.where("link is not null"), F.lit("any")),
+        count(posts.where("link is not null"), F.lit("any")), count(orphan_fields(tables), F.col("kind")),
+    ]
+    of = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("count"))), F.lit(0)).alias(name)
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name", "field_name", "month").agg(of("any", "n_refs"), of("direct", "n_direct"), of("inherited", "n_inherited"))

@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 from crossweave.functions.keys import with_keys
 
 
-def pair_states(df: DataFrame, user: str = "userId", item: str = "itemId", value: str | None = "rating", low: float = 1.0, high: float = 5.0) -> DataFrame:
-    """(user_key, item_key, n, n_valid, total): one mergeable state for each pair; absent ids are null keys. Values
-    that are null, NaN or outside [low, high] count as rows but not for the mean."""
+def row_states(df: DataFrame, user: str = "userId", item: str = "itemId", value: str | None = "rating", low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """(user_key, item_key, n, n_valid, total) of each row; absent ids are null keys. Values that are null, NaN or outside
+    [low, high] count as rows but not for the mean."""
     keep = [df[value].cast("double").alias("v")] if value else [F.lit(None).cast("double").alias("v")]
     x = with_keys(df, {"user_key": user, "item_key": item}, keep)
     valid = F.col("v").between(low, high) & ~F.isnan("v")
-    return x.groupBy("user_key", "item_key").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(valid, 1)).alias("n_valid"), F.sum(F.when(valid, F.col("v"))).alias("total")
-    )
+    return x.select("user_key", "item_key", F.lit(1).cast("long").alias("n"), F.when(valid, 1).otherwise(0).cast("long").alias("n_valid"), F.when(valid, F.col("v")).alias("total"))
+
+
+def pair_states(df: DataFrame, user: str = "userId", item: str = "itemId", value: str | None = "rating", low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """(user_key, item_key, n, n_valid, total): the row_states of each pair merged into one."""
+    x = row_states(df, user, item, value, low, high)
+    return x.groupBy("user_key", "item_key").agg(*[F.sum(c).alias(c) for c in ("n", "n_valid", "total")])
 
 
 def per_key(states: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -59,9 +63,13 @@ def union_of(states: dict[str, DataFrame], label: str = "table_name") -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def key_results(tables: dict[str, tuple[DataFrame, str, float, float]]) -> DataFrame:
-    """per_key over several tables given as {name: (df, value column, low, high)}, with table_name."""
-    return per_key(union_of({n: pair_states(df, value=v, low=lo, high=hi) for n, (df, v, lo, hi) in tables.items()}), ["table_name"])
+def key_results(tables: dict[str, tuple[DataFrame, str, float, float]], partners: bool = True) -> DataFrame:
+    """per_key over several tables given as {name: (df, value column, low, high)}, with table_name. Without ``partners``
+    there is no n_partners and no state for each pair: one aggregation by key, of which a task shuffles one row a key."""
+    if partners:
+        return per_key(union_of({n: pair_states(df, value=v, low=lo, high=hi) for n, (df, v, lo, hi) in tables.items()}), ["table_name"])
+    rows = union_of({n: row_states(df, value=v, low=lo, high=hi) for n, (df, v, lo, hi) in tables.items()})
+    return per_key(rows, ["table_name"]).drop("n_partners")
 
 
 def is_finite(c: Column) -> Column:

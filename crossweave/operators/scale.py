@@ -86,11 +86,12 @@ def salted(facts: DataFrame, dim: DataFrame, on: list[str], how: str, hot: DataF
     return a.join(b, [*on, salt], how).drop(salt)
 
 
-def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", spread: Column | None = None) -> DataFrame:
+def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", spread: Column | None = None, small: bool | None = None) -> DataFrame:
     """facts joined with dim (one row for each key): broadcast if dim was measured to be small, else an equi-join in
     which keys of facts that hold more rows than a task should are spread, see salted. ``how``: inner, left, left_semi or
-    left_anti. dim is read once to be measured, facts once to be counted if dim isn't small."""
-    if is_small(dim):
+    left_anti. dim is read once to be measured, unless the caller has and says whether it is ``small``; facts are read
+    once to be counted if dim isn't."""
+    if is_small(dim) if small is None else small:
         return facts.join(F.broadcast(dim), on, how)
     return salted(facts, dim, on, how, hot_keys(facts, on), spread)
 

@@ -19,7 +19,7 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p2_found(spark, d):
-    return item_references.orphan_references(_tables(spark, d)).select("table_name", "field_name", "row_key")
+    return item_references.orphan_fields(_tables(spark, d), levels=0).select("table_name", "field_name", "row_key")
 
 
 def p2_report(spark, d):
@@ -30,17 +30,17 @@ def p2_records(spark, d):
     return item_references.orphan_records(_tables(spark, d))
 
 
-def _key_results(spark: SparkSession, d: str) -> DataFrame:
+def _key_results(spark: SparkSession, d: str, partners: bool = True) -> DataFrame:
     t = lambda n: table(spark, d, n)
     return keyed.key_results({
         "src_ratings": (t("src_ratings"), "rating", 1.0, 5.0),
         "tgt_ratings": (t("tgt_ratings"), "rating", 1.0, 5.0),
         "item_scores": (t("item_scores"), "score", -1.7976931348623157e308, 1.7976931348623157e308),
-    })
+    }, partners)
 
 
 def p3_found(spark, d):
-    x = keyed.heavy_keys(_key_results(spark, d), ["table_name"], (1, 100))
+    x = keyed.heavy_keys(_key_results(spark, d, partners=False), ["table_name"], (1, 100))
     x = x.where("not (table_name = 'item_scores' and field_name = 'itemId')")
     return x.select("table_name", "field_name", "key_value")
 

@@ -25,19 +25,24 @@ items as (select dom, {key('itemId')} as ref, listed_at, removed_at from item_in
 orphans as (select * from refs r where not exists (select 1 from items i where i.dom = r.dom and i.ref = r.ref
             and (r.ts is null or (i.listed_at <= r.ts and (i.removed_at is null or r.ts < i.removed_at)))))"""
 P2_FOUND = f"with {_ORPHANS} select table_name, field_name, row_key from orphans"
-P2_REPORT = f"""with {_ORPHANS}, b as (select table_name, field_name, row_key, count(*) as k from orphans group by all)
-select r.table_name, r.field_name, strftime(r.ts, '%Y-%m') as month, count(*) as n_refs, count(b.k) as n_orphans
-from refs r left join b using (table_name, field_name, row_key) group by 1, 2, 3"""
-P2_RECORDS = f"""with recursive {_ORPHANS},
-direct as materialized (select distinct table_name, row_key from orphans),
+_CASCADE = f"""direct as materialized (select distinct table_name, row_key from orphans),
 r as (select 'src_ratings' as t, 'src' as dom, row_id, {key('userId')} as u, {key('itemId')} as i from src_ratings
       union all select 'tgt_ratings', 'tgt', row_id, {key('userId')}, {key('itemId')} from tgt_ratings),
 gone as materialized (select r.dom, r.u, r.i from r left join direct d on d.table_name = r.t and d.row_key = r.row_id
          where r.u is not null and r.i is not null group by 1, 2, 3 having count(*) = count(d.row_key)),
-s as materialized (select row_id, dom, {key('userId')} as u, {key('itemId')} as i from split_ratings),
-lost(doc_id, depth) as (
-  select d.doc_id, 0 from documents d left join documents p on p.doc_id = d.parent_id where d.parent_id is not null and p.doc_id is null
-  union all select d.doc_id, l.depth + 1 from documents d join lost l on d.parent_id = l.doc_id)
+s as materialized (select row_id, dom, {key('userId')} as u, {key('itemId')} as i, ts from split_ratings),
+lost(doc_id, posted_at, depth) as (
+  select d.doc_id, d.posted_at, 0 from documents d left join documents p on p.doc_id = d.parent_id where d.parent_id is not null and p.doc_id is null
+  union all select d.doc_id, d.posted_at, l.depth + 1 from documents d join lost l on d.parent_id = l.doc_id)"""
+P2_REPORT = f"""with recursive {_ORPHANS}, {_CASCADE},
+x as (select table_name, field_name, ts, 'any' as kind from refs union all select table_name, field_name, ts, 'direct' from orphans
+union all select 'split_ratings', 'userId, itemId', ts, 'any' from s where dom is not null and u is not null and i is not null
+union all select 'split_ratings', 'userId, itemId', s.ts, 'inherited' from s join gone g on g.dom = s.dom and g.u = s.u and g.i = s.i
+union all select 'documents', 'parent_id', posted_at, 'any' from documents where parent_id is not null
+union all select 'documents', 'parent_id', posted_at, case depth when 0 then 'direct' else 'inherited' end from lost)
+select table_name, field_name, strftime(ts, '%Y-%m') as month, count(*) filter (kind = 'any') as n_refs, count(*) filter (kind = 'direct') as n_direct,
+count(*) filter (kind = 'inherited') as n_inherited from x group by 1, 2, 3"""
+P2_RECORDS = f"""with recursive {_ORPHANS}, {_CASCADE}
 select table_name, row_key, 'direct' as kind, 0 as depth from direct
 union all select 'split_ratings', s.row_id, 'inherited', 1 from s join gone g on g.dom = s.dom and g.u = s.u and g.i = s.i
 union all select 'documents', doc_id, case depth when 0 then 'direct' else 'inherited' end, depth from lost"""

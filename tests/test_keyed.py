@@ -22,6 +22,8 @@ def test_per_key(spark):
     assert set(got) == set(n)
     for k, r in got.items():
         assert (r.n_rows, r.n_partners) == (n[k], len(partners[k])) and abs(r.mean_value - sum(values[k]) / len(values[k])) < 1e-5
+    light = {(r.field_name, r.key_value): (r.n_rows, r.mean_value) for r in keyed.key_results({"t": (spark.createDataFrame(rows, SCHEMA), "rating", 1.0, 5.0)}, partners=False).collect()}
+    assert light == {k: (r.n_rows, r.mean_value) for k, r in got.items()}
     heavy = {(r.field_name, r.key_value) for r in keyed.heavy_keys(keyed.key_results({"t": (spark.createDataFrame(rows, SCHEMA), "rating", 1.0, 5.0)}), ["table_name"], (1, 4)).collect()}
     assert heavy == {k for k in n if n[k] * 4 >= sum(c for j, c in n.items() if j[0] == k[0])}
 
