@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.operators.scale import lookup, rank_in_groups
+from crossweave.operators.scale import lookup, rank_rows
 
 
 def dense_ids(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
-    """Adds ``out``: 0.. in the given order, which has to be total; no window spans ranges of rows, see rank_in_groups."""
-    return rank_in_groups(df, [], order, out).withColumn(out, F.col(out) - 1)
+    """Adds ``out``: 0.. in the given order, which has to be total; no window spans ranges of rows, see rank_rows."""
+    return rank_rows(df, order, out).withColumn(out, F.col(out) - 1)
 
 
 def user_presence(src: DataFrame, tgt: DataFrame) -> DataFrame:

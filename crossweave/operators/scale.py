@@ -96,6 +96,18 @@ def lookup(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
     return salted(facts, dim, on, how, hot_keys(facts, on), spread)
 
 
+def rank_rows(df: DataFrame, order: list[str | Column], rank: str) -> DataFrame:
+    """Adds ``rank``, the row's place from 1 by ``order``, which has to be total. The rows are sorted in ranges and
+    checkpointed with their places in their range; one row a range says how many rows lie before it."""
+    at, place = "_range", (1 << 33) - 1
+    x = cut(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))  # the range above 33 bits, the row below
+    sizes = x.groupBy(F.shiftright(at, 33).alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    pieces = sizes.agg(F.sort_array(F.collect_list(F.struct("_at", "_c"))).alias("_p")).select(F.posexplode("_p").alias("_i", "_q"), "_p")
+    before = F.aggregate(F.slice("_p", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda s, p: s + p["_c"])
+    pieces = F.broadcast(pieces.select("_q._at", before.alias("_before")))
+    return x.join(pieces, F.shiftright(at, 33) == F.col("_at")).withColumn(rank, F.col("_before") + F.col(at).bitwiseAND(place) + 1).select(*df.columns, rank)
+
+
 def rank_in_groups(df: DataFrame, group: list[str], order: list[str | Column], rank: str, size: str | None = None) -> DataFrame:
     """Adds ``rank``, the row's place from 1 within its group by ``order``, and ``size``, the rows of the group, if named.
     ``order`` has to be total, or equal rows get their places arbitrarily.
@@ -103,6 +115,8 @@ def rank_in_groups(df: DataFrame, group: list[str], order: list[str | Column], r
     The rows are sorted by (group, order) into ranges and checkpointed, so a group with most of the rows spans many
     ranges. Each range ranks its own rows; a group that spans ranges adds the rows of those before. As ranges are
     consecutive, that table has at most two rows a range and may be broadcast."""
+    if not group and size is None:
+        return rank_rows(df, order, rank)
     at = "_range"
     x = cut(df.orderBy(*group, *order).withColumn(at, F.spark_partition_id()))
     sizes = x.groupBy(at, *group).agg(F.count(F.lit(1)).alias("_c"))
