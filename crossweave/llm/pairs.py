@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crossweave.functions.keys import with_keys
-from crossweave.operators.scale import cut, running_total
+from crossweave.operators.scale import cut, lookup, running_total
 
 CELL = 512
 #: Degrees up to EXACT are classes of their own; above, classes are 1 % wide. So the histogram of degrees that the
@@ -34,6 +36,10 @@ CELL = 512
 EXACT, WIDTH = 256, 0.01
 #: Kinds of pairs whose tails are computed at once.
 TRIPLES = 512
+#: Relative distance of fitted degrees beyond which a null counts as not converged.
+GAP = 1e-3
+#: Codes below this fit two to a long; more items than that are paired as two longs.
+PACKED = 1 << 31
 
 
 def baskets(df: DataFrame, user: str = "userId", item: str = "itemId") -> DataFrame:
@@ -50,16 +56,18 @@ def _class(n):
 @dataclass(frozen=True)
 class Null:
     """A fitted bipartite configuration model on classes of degrees. user_count users have the parameter x each, an
-    item of class k the parameter y[k]."""
+    item of class k the parameter y[k]. gap is the largest relative distance between a fitted and an observed degree."""
 
     user_count: np.ndarray
     x: np.ndarray
     item_class: np.ndarray
     y: np.ndarray
+    gap: float = 0.0
 
 
 def fit_null(user_count, user_degree, item_class, item_count, item_degree, rounds: int = 2000, tolerance: float = 1e-9) -> Null:
-    """Fixed-point iteration for the maximum-likelihood parameters; degrees are class means."""
+    """Fixed-point iteration for the maximum-likelihood parameters; degrees are class means. Warns if the fitted degrees
+    are still further than GAP from the observed ones after the last round; they are named in the result."""
     nu, du = np.asarray(user_count, float), np.asarray(user_degree, float)
     ni, di = np.asarray(item_count, float), np.asarray(item_degree, float)
     if not len(nu):
@@ -74,7 +82,11 @@ def fit_null(user_count, user_degree, item_class, item_count, item_degree, round
         x, y = x_new, y_new
         if moved < tolerance:
             break
-    return Null(nu, x, np.asarray(item_class), y)
+    held = x[:, None] * y[None, :] / (1 + x[:, None] * y[None, :])
+    gap = float(max(np.abs(held @ ni / du - 1).max(), np.abs(nu @ held / di - 1).max()))
+    if not gap <= GAP:
+        warnings.warn(f"the null's degrees are off by up to {gap:.2g} after {rounds} rounds", RuntimeWarning, stacklevel=2)
+    return Null(nu, x, np.asarray(item_class), y, gap)
 
 
 def tails(q: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +179,9 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
     levels = coded.where("bits > 0").groupBy("bits").agg(F.min("code").alias("start")).orderBy("bits").collect()  # 63 rows at most
 
     codes = coded.select("item_key", "code")
-    light = small.join(codes, "item_key").select("user_key", "code")
+    light = lookup(small, codes, ["item_key"]).select("user_key", "code")
     sized = light.groupBy("user_key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = light.join(sized.withColumn("cells", F.ceil(F.col("m") / CELL).cast("int")), "user_key").select("user_key", "code", "cells")
+    rows = lookup(light, sized.select("user_key", F.ceil(F.col("m") / CELL).cast("int").alias("cells")), ["user_key"])
     mine = F.pmod(F.xxhash64("code"), F.col("cells")).cast("int")
     rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -177,24 +189,28 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
         F.sort_array(F.collect_list(F.when(F.col("own") == F.col("lo"), F.col("code")))).alias("a"),
         F.sort_array(F.collect_list(F.when(F.col("own") == F.col("hi"), F.col("code")))).alias("b"),
     )
-    # codes are below 2**31, so both of a pair fit into one long
-    pack = lambda x, y: F.shiftleft(F.least(x, y), 31).bitwiseOR(F.greatest(x, y))
+    if n_items < PACKED:
+        pack = lambda x, y: F.shiftleft(F.least(x, y), 31).bitwiseOR(F.greatest(x, y))
+        lower, higher = F.shiftright("ab", 31), F.col("ab").bitwiseAND(PACKED - 1)
+    else:
+        pack = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+        lower, higher = F.col("ab.x"), F.col("ab.y")
     inside = F.transform("a", lambda x, i: F.transform(F.slice("a", i + 2, F.greatest(F.size("a"), F.lit(1))), lambda y: pack(x, y)))
     across = F.transform("a", lambda x: F.transform("b", lambda y: pack(x, y)))
     spelt = cells.select(F.explode(F.flatten(F.when(F.col("lo") == F.col("hi"), inside).otherwise(across))).alias("ab"))
     counted = spelt.groupBy("ab").agg(F.count(F.lit(1)).alias("n_light"))
 
     # a pair has at most as many common mask bits as its item with fewer, and the lower code has fewer
-    lower, upper = F.shiftright("ab", 31), F.lit(0)
+    upper = F.lit(0)
     for level in levels:
         upper = F.when(lower >= level["start"], F.lit(level["bits"])).otherwise(upper)
     counted = counted.where(F.col("n_light") + upper >= min_count)
     side = lambda s: coded.select(F.col("code").alias(f"code_{s}"), F.col("item_key").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"), F.col("cls").alias(f"cls_{s}"), F.col("mask").alias(f"mask_{s}"))
-    split = counted.select(F.shiftright("ab", 31).alias("code_a"), F.col("ab").bitwiseAND((1 << 31) - 1).alias("code_b"), "n_light")
-    pairs = split.join(side("a"), "code_a").join(side("b"), "code_b")
+    split = counted.select(lower.alias("code_a"), higher.alias("code_b"), "n_light")
+    pairs = lookup(lookup(split, side("a"), ["code_a"], spread=F.xxhash64("code_b")), side("b"), ["code_b"], spread=F.xxhash64("code_a"))
     pairs = pairs.withColumn("n_ab", F.col("n_light") + F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b")))).where(F.col("n_ab") >= min_count)
     if min_lift is not None:
-        pairs = pairs.where(F.col("n_ab") * F.lit(float(n_baskets)) >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b"))
+        pairs = pairs.where(reaches(min_lift, n_baskets))
     swap = F.col("item_a") > F.col("item_b")
     pick = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
     pairs = pairs.select(
@@ -215,7 +231,7 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
 
     kinds = pairs.select("lo", "hi", "n_ab").distinct()
     scored = kinds.mapInPandas(surprise, "lo long, hi long, n_ab long, expected double, surprise double")
-    pairs = pairs.join(cut(scored), ["lo", "hi", "n_ab"])
+    pairs = lookup(pairs, cut(scored), ["lo", "hi", "n_ab"], spread=F.xxhash64("item_a", "item_b"))
     tested = int(item_hist.loc[item_hist["d"] >= min_count, "c"].sum())
     return with_q_values(pairs, tested * (tested - 1) / 2).select(
         "item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(n_baskets).cast("long").alias("n_baskets"),
@@ -223,6 +239,14 @@ def item_pairs(df: DataFrame, user: str = "userId", item: str = "itemId", min_co
     )
 
 
+def reaches(lift: float, n_baskets: int):
+    """n_ab * n_baskets >= lift * n_a * n_b, in whole numbers of up to 38 digits where lift is one."""
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    if float(lift).is_integer():
+        return exact("n_ab") * F.lit(n_baskets).cast("decimal(19,0)") >= exact("n_a") * exact("n_b") * F.lit(int(lift))
+    return F.col("n_ab") * F.lit(float(n_baskets)) >= F.lit(float(lift)) * F.col("n_a") * F.col("n_b")
+
+
 def with_q_values(pairs: DataFrame, tests: float) -> DataFrame:
     """Adds q_value = min over all surprises s <= own of tests * 10**-s / (rows with at least s), at most 1.
 
@@ -237,8 +261,7 @@ def with_q_values(pairs: DataFrame, tests: float) -> DataFrame:
     return x.join(F.broadcast(q), "_s").drop("_s")
 
 
-def found_pairs(df: DataFrame, min_count: int = 12, lift: int = 20) -> DataFrame:
-    """(item_a, item_b) of item_pairs with n_ab >= min_count and n_ab * n_baskets >= lift * n_a * n_b, in whole numbers."""
-    x = item_pairs(df, min_count=min_count, min_lift=lift)
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
-    return x.where((F.col("n_ab") >= min_count) & (exact("n_ab") * exact("n_baskets") >= exact("n_a") * exact("n_b") * lift)).select("item_a", "item_b")
+def found_pairs(df: DataFrame, min_count: int = 12, lift: int = 20, max_q: float = 1.0) -> DataFrame:
+    """(item_a, item_b) of item_pairs with n_ab >= min_count, n_ab * n_baskets >= lift * n_a * n_b, in whole numbers, and a
+    false-discovery rate under the fitted null of at most max_q."""
+    return item_pairs(df, min_count=min_count, min_lift=lift).where(F.col("q_value") <= max_q).select("item_a", "item_b")

@@ -12,6 +12,7 @@ from crossweave.operators.scale import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 SAMPLE_RATE = 0.05
+MAX_Q = 0.01
 
 
 def _ratings(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -19,7 +20,9 @@ def _ratings(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p1_found(spark, d):
-    return pairs.found_pairs(table(spark, d, "src_ratings"), 12, 20)
+    """Pairs that the stated counts and lift make cases, and whose surprise under the null leaves a false-discovery rate of
+    one in a hundred at most."""
+    return pairs.found_pairs(table(spark, d, "src_ratings"), 12, 20, MAX_Q)
 
 
 def p1_pairs(spark, d):

@@ -55,6 +55,24 @@ def test_lift_prunes_nothing_it_should_keep(spark):
     assert {tuple(r) for r in pairs.found_pairs(spark.createDataFrame(rows, SCHEMA), 2, 2).collect()} == want
 
 
+def test_q_values_select(spark):
+    planted = [(f"p{k}", i, 7, None, 3) for k in range(30) for i in ("PA", "PB")]  # always together
+    df = spark.createDataFrame(_rows(2, 400, 60) + planted, SCHEMA)
+    q = {(r.item_a, r.item_b): r.q_value for r in pairs.item_pairs(df, min_count=2, min_lift=2).collect()}
+    assert {tuple(r) for r in pairs.found_pairs(df, 2, 2, 0.01).collect()} == {p for p, v in q.items() if v <= 0.01} == {("PA", "PB")}
+    assert len(q) > 50
+
+
+def test_items_beyond_packed_codes_and_gap(spark, monkeypatch):
+    df = spark.createDataFrame(_rows(), SCHEMA)
+    want = sorted(map(tuple, pairs.item_pairs(df, min_count=2).collect()))
+    monkeypatch.setattr(pairs, "PACKED", 3)
+    assert sorted(map(tuple, pairs.item_pairs(df, min_count=2).collect())) == want
+    assert pairs.fit_null([50, 10], [2, 8], [3, 9], [20, 10], [5, 8]).gap < 1e-6
+    with pytest.warns(RuntimeWarning, match="rounds"):
+        assert pairs.fit_null([50, 10], [2, 28], [3, 9], [20, 10], [5, 28], rounds=1).gap > pairs.GAP
+
+
 def test_no_rows(spark):
     assert pairs.item_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
     assert pairs.item_pairs(spark.createDataFrame([(None, None, 1, 1, 1), ("a", None, 1, 1, 1)], SCHEMA), min_count=1).count() == 0
