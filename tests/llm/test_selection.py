@@ -71,6 +71,24 @@ def test_sample_covers_evenly(spark):
     assert all(abs(r["count"] - 100) <= 3 for r in got) and len(got) == 5
 
 
+def test_stored_numbers_lose_no_member(spark, tmp_path):
+    """Old rows go, rows without a batch and rows of old batches come: every member stays one."""
+    rows = _rating_rows(300, 6)
+    full = spark.createDataFrame([r for r in rows if r[2] is not None], "userId string, itemId string, batch_no int")
+    numbers = sample.Numbers(spark, str(tmp_path / "numbers"))
+    one = {tuple(r) for r in sample.sample_pairs({"src": full}, 0.2, numbers).collect()}
+    fewer = full.where("batch_no >= 3")
+    late = spark.createDataFrame([(f"new{k}", "i", [None, 0, 9][k % 3]) for k in range(200)], "userId string, itemId string, batch_no int")
+    two = {tuple(r) for r in sample.sample_pairs({"src": fewer.unionByName(late)}, 0.2, numbers).collect()}
+    assert one and one < two and len({r[-1] for r in two}) == len(two)
+    assert abs(len(two - one) - 40) <= 3
+    again = {tuple(r) for r in sample.sample_pairs({"src": fewer}, 0.2, numbers).collect()}
+    seqs = sorted(r.seq for r in numbers.read().collect())
+    assert again == two and seqs == list(range(len(seqs)))
+    unstored = {r[:3] for r in map(tuple, sample.sample_pairs({"src": fewer.unionByName(late)}, 0.2).collect())}
+    assert not {r[:3] for r in one} <= unstored  # what storing them is for
+
+
 def test_low_discrepancy_is_modular(spark):
     seqs = [0, 1, 2**20 - 1, 2**20, 2**31 + 5, 2**45 + 12345, 2**61]
     df = spark.createDataFrame([(s,) for s in seqs], "s long").select("s", sample.low_discrepancy(F.col("s"), 99).alias("p"))
