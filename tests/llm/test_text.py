@@ -70,30 +70,55 @@ def _frames(spark):
 
 def test_mix(spark, machine):
     docs, targets = _frames(spark)
-    rows = mix.mix(docs, targets).collect()
     size = {k: len(machine.encode(t)) for k, t, _, _ in DOCS}
     have = {s: sum(size[k] for k, _, x, _ in DOCS if x == s) for s in ("big", "small", "tiny")}
     total = sum(have.values())
+    rows = mix.mix(docs, targets, total).collect()
     assert [r.position for r in rows] == sorted(r.position for r in rows) and all(0 <= r.position <= 1 for r in rows)
     assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and all(r.n_tokens == size[r.doc_id] > 0 for r in rows)
     for s, w, most in TARGETS[:3]:
         mine = [r for r in rows if r.source == s]
-        demand = min(int(w * total), most * have[s])
+        demand = min(int(w / 0.95 * total + 1e-6), most * have[s])  # 'none' has no documents: the others share its weight
         assert max(r.copy for r in mine) < most
         assert demand <= sum(r.n_tokens for r in mine) < demand + max(size.values())
         whole = {c: {r.doc_id for r in mine if r.copy == c} for c in range(most)}
         assert all(not whole[c + 1] or len(whole[c]) == sum(x == s and size[k] > 0 for k, _, x, _ in DOCS) for c in range(most - 1))
-    again = mix.mix(docs.repartition(5), targets).collect()
+    again = mix.mix(docs.repartition(5), targets, total).collect()
     assert again == rows
 
 
 def test_mix_exact_and_report(spark):
     docs, targets = _frames(spark)
     small = {r.source: r for r in mix.mix_report(docs, targets, total=200).collect()}
-    assert small["none"].n_rows == 0 and small["none"].share == 0
-    assert all(abs(small[s].mixed_tokens - w * 200) < 14 for s, w, _ in TARGETS[:3])
+    assert small["none"].n_rows == 0 and small["none"].share == 0 and small["none"].target_share == 0
+    assert all(abs(small[s].mixed_tokens - w / 0.95 * 200) < 14 for s, w, _ in TARGETS[:3])
     assert abs(sum(r.share for r in small.values()) - 1) < 1e-4
     assert mix.mix(docs.limit(0), targets).count() == 0 and mix.mix(docs, targets.limit(0)).count() == 0
+    assert mix.mix_report(docs.limit(0), targets).count() == 4
+
+
+def _variation(plan, total):
+    taken = [min(w * total, cap) for w, cap in plan]
+    return sum(abs(x / sum(taken) - w) for x, (w, _) in zip(taken, plan)) / 2
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.02, 0.2])
+def test_largest_total(spark, tolerance):
+    plan = [(0.5, 1000.0), (0.3, 900.0), (0.15, 40.0), (0.05, 7.0)]
+    got = mix.largest_total(spark.createDataFrame(plan, "target double, cap double"), tolerance)
+    grid = [140 + k / 10 for k in range(28_600)]
+    best = max(t for t in grid if _variation(plan, t) <= tolerance + 1e-12)
+    assert _variation(plan, got) <= tolerance + 1e-9 and abs(got - best) < 0.2
+    assert got >= 7 / 0.05 - 1e-6  # at least what the scarcest source allows exactly
+
+
+def test_default_mix_is_within_the_tolerance(spark):
+    docs, targets = _frames(spark)
+    report = mix.mix_report(docs, targets, tolerance=0.05).collect()
+    assert {r.total_variation for r in report} == {report[0].total_variation} and report[0].total_variation <= 0.05 + 0.01
+    least = mix.mix_report(docs, targets, tolerance=0.0).collect()
+    assert sum(r.mixed_tokens for r in least) < sum(r.mixed_tokens for r in report) and least[0].total_variation <= 0.01
+    assert all(r.most_copies <= r.max_repeat for r in report)
 
 
 def test_schedule_is_inverted(spark):
