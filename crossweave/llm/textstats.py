@@ -2,10 +2,11 @@
 
 A forum post is first cut down to its own text: quoted posts and the signature go. Its lines are then told apart:
 
-* tables, from delimiters that stand vertically aligned: neighbouring lines with the same row of delimiters;
-* lists, from item marks, from an indentation that comes back under short lines, from runs of short lines of like length
-  (autocorrelation of line lengths) written as names, both whatever their words, and from runs of short lines without
-  the words that sentences need;
+* tables, from delimiters that stand vertically aligned: in the same columns as those of the lines around, or, where
+  fields aren't padded, in the same order;
+* lists, from marks before the first word that stand aligned in the same way (enumerations by their numbers), from an
+  indentation that comes back under short lines, from runs of short lines of like length (autocorrelation of line lengths)
+  written as names, both whatever their words, and from runs of short lines without the words that sentences need;
 * junk, from the shares of letters, words, symbols and digits, and from repetition.
 
 What is left is prose. All of a text is read; every pattern is linear in its length.
@@ -18,14 +19,17 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crossweave.operators.scale import lookup
 
 #: A document is structured if more than this share of its own characters lies in list items, table rows or junk.
 STRUCTURED = 0.5
-#: Words that may be held in each worker; a larger table of frequent words is refused.
+#: Words that are held in each worker; of a larger table each text is joined with those that it has.
 MAX_WORDS = 100_000
 #: Lines of under SHORT characters may be items without a mark; RUN of them with lengths ALIKE and NAMES of the rarer words
 #: capitalised are, without an indentation.
@@ -34,12 +38,13 @@ SHORT, RUN, ALIKE, NAMES = 60, 4, 0.9, 0.9
 _QUOTE = re.compile(r"\[quote[^\]\n]{0,80}\]|\[/quote\]|<blockquote[^>\n]{0,80}>|</blockquote>", re.I)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 _QUOTED_LINE = re.compile(r"\s*(?:>|&gt;)(?!\s*$)|\s*(?:>|&gt;)\s*$")
-_SAID = re.compile(r".{0,80}\b(?:wrote|said|schrieb|écrit|escribió|писал)\b.{0,20}:\s*$", re.I)
-_SIGNATURE = re.compile(r"\s*(?:--|—|_{5,}|~ \S.*|~\*~.*|\[sig\].*|\*{5,}|={5,}|- - -.*)\s*$")
+#: What begins a signature: the usual two dashes, a tag, a tilde before its text, or a rule of one sign.
+_SIGNATURE = re.compile(r"\s*(?:--|—|\[sig\].*|(?:~\*)?~ \S.*|([_*=~-])(?: ?\1){4,})\s*$")
 _TAG = re.compile(r"</?[a-z][^<>\n]{0,200}>|\[/?(?:b|i|u|s|color|url|img|size|sig|spoiler|code|list|\*|quote|font|center)(?:=[^\]\n]{0,200})?\]|&[a-z]{2,8};|&#\d{1,6};", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _URL = re.compile(r"\b(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S{1,200}")
-_ITEM = re.compile(r"\s*(?:[-*+•·–—▪◦‣○●■□►]\s+|\[[ xX]?\]\s*|\(?\d{1,4}[.):\]]\s+|\(?[a-zA-Z][.)]\s+|#\d+\s|\d{1,3}\s+(?=\S.*\[\d+:\d\d\]))\S")
+_HEAD = re.compile(r"[^\W\d_]{2}")
+_SINGLE, _DIGITS, _ALNUM = re.compile(r"[^\W\d_]"), re.compile(r"\d+"), re.compile(r"\w+")
 _MARKED = re.compile(r"\s*(?:<(?:/?[uod]l|li|/?t(?:able|r|d|h|body|head)|d[td])\b|\[\*\]|\[/?(?:list|table|tr|td|th)\b)", re.I)
 _KANA = re.compile(r"[぀-ヿ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -63,9 +68,18 @@ def _ends(line: str) -> bool:
     return False
 
 
+def _attributes(lines: list[str], k: int) -> bool:
+    """Whether line k names whose words follow: it ends in a colon and the next line is quoted."""
+    if not lines[k].rstrip().endswith(":"):
+        return False
+    after = next((x.strip() for x in lines[k + 1 : k + 3] if x.strip()), "")
+    return bool(_QUOTED_LINE.match(after)) or after.startswith("|") and "|" not in after[1:]
+
+
 def own_text(text: str) -> list[str]:
     """The lines of a post without quoted posts and signature. A quote that is never closed ends at the next blank line,
-    or with the text."""
+    or with the text. A signature is the last paragraph from a mark on, unless its lines stand aligned as a table's or
+    list's do."""
     spans: list[tuple[int, int]] = []
     opened: list[int] = []
     for m in _QUOTE.finditer(text):
@@ -93,34 +107,81 @@ def own_text(text: str) -> list[str]:
             kept.append(text[at:a])
         at = max(at, b)
     kept.append(text[at:])
-    lines, said = [], False
-    for line in "\n".join(kept).splitlines():
-        if _SAID.match(line):
+    every, lines, said = "\n".join(kept).splitlines(), [], False
+    for k, line in enumerate(every):
+        if _attributes(every, k):
             said = True
         elif _QUOTED_LINE.match(line) or said and line.lstrip().startswith("|"):
             pass
         else:
             said = said and not line.strip()
             lines.append(line)
-    filled = [k for k, line in enumerate(lines) if line.strip()]
-    for k in filled[-7:]:
+    last = len(lines)
+    while last and not lines[last - 1].strip():
+        last -= 1
+    start = last
+    while start and lines[start - 1].strip():
+        start -= 1
+    for k in range(start, last):
         if _SIGNATURE.match(lines[k]):
-            return lines[:k]
+            heads = [_head(x) for x in lines[k + 1 : last]]
+            shapes = [_shape(x) for x in lines[k + 1 : last]]
+            rows = sum(bool(h) and heads.count(h) > 2 or len(s) > 1 and shapes.count(s) > 2 for h, s in zip(heads, shapes))
+            if 2 * rows <= len(heads):
+                return lines[:k]
+            break
     return lines
 
 
+def _head(line: str) -> str:
+    """The sign of a line's first mark: what stands before its first word of two letters or more, with digits as 0 and single
+    letters left out, if it has a sign or number that white space or a bracket sets off; else ''. All of one list have one."""
+    x = line.strip()
+    m = _HEAD.search(x)
+    head = x[: m.start()] if m else x[:12]
+    if not head or not (head[-1].isspace() or head[-1] in ")]") or m and x.endswith(head.strip() or " "):  # the same at the end: emphasis
+        return ""
+    signs = _SPACES.sub("", _DIGITS.sub("0", _SINGLE.sub("", head)))
+    return signs[:8]
+
+
 def _shape(line: str) -> tuple[str, ...]:
     """The row of delimiters of a line, runs of spaces as one sign and comma and semicolon as one."""
     return tuple("," if d in ",;" else " " if d.isspace() and d != "\t" else d for d in _DELIMITERS.findall(line.strip()))
 
 
-def _autocorrelation(x: np.ndarray) -> float:
+def _columns(line: str) -> frozenset[tuple[str, int]]:
+    """Where the delimiters of a line stand: of gaps the end, where the next field begins, of signs the sign."""
+    return frozenset((" ", m.end()) if m.group().isspace() else (m.group(), m.start()) for m in _DELIMITERS.finditer(line.rstrip()) if m.start())
+
+
+def _aligned(k: int, near: list[int], shapes: list[tuple[str, ...]], columns: list[frozenset[tuple[str, int]]]) -> bool:
+    """Whether two or more delimiters of line k stand vertically aligned with a line near it: all in one order, or half of
+    them or more in the same columns."""
+    if len(shapes[k]) < 2:
+        return False
+    return any(shapes[j] == shapes[k] or (c := len(columns[k] & columns[j])) >= 2 and 2 * c >= len(columns[k]) for j in near)
+
+
+def _marked_alike(k: int, near: list[int], heads: list[str], lines: list[str]) -> bool:
+    """Whether the mark before line k's first word comes back before a line near it; of bare numbers the next or one before."""
+    if not heads[k]:
+        return False
+    alike = [j for j in near if heads[j] == heads[k]]
+    if heads[k] != "0":
+        return bool(alike)
+    number = lambda j: int(_DIGITS.search(lines[j]).group()[:9])
+    return any(0 < (number(j) - number(k)) * (1 if j > k else -1) <= 2 for j in alike)
+
+
+def _autocorrelation(x: list[int]) -> float:
     """Correlation of neighbours; 1 for a constant row of three or more."""
     if len(x) < 3:
         return 0.0
-    a, b = x[:-1] - x.mean(), x[1:] - x.mean()
-    v = float(((x - x.mean()) ** 2).sum())
-    return 1.0 if v < 1e-9 else float((a * b).sum() / v)
+    mean = sum(x) / len(x)
+    d = [v - mean for v in x]
+    v = sum(map(mul, d, d))
+    return 1.0 if v < 1e-9 else sum(map(mul, d, d[1:])) / v
 
 
 def _recurs(indents: list[int]) -> list[bool]:
@@ -133,10 +194,9 @@ def _periodicity(indents: list[int]) -> float:
     return sum(_recurs(indents)) / len(indents) if indents else 0.0
 
 
-def _alike(x: np.ndarray) -> bool:
+def _alike(x: list[int]) -> bool:
     """Whether the lengths of a run of lines are alike: their autocorrelation about 0, as a cosine."""
-    a, b = x[:-1], x[1:]
-    return float((a * b).sum()) >= ALIKE * float(np.sqrt((a * a).sum() * (b * b).sum()))
+    return sum(map(mul, x, x[1:])) >= ALIKE * (sum(map(mul, x[:-1], x[:-1])) * sum(map(mul, x[1:], x[1:]))) ** 0.5
 
 
 def _listed(lines: list[str], frequent: frozenset[str]) -> set[int]:
@@ -163,7 +223,7 @@ def _listed(lines: list[str], frequent: frozenset[str]) -> set[int]:
                     found.update(run)
             elif len(run) >= RUN and small == 0:
                 rare = [w for j in run for w in _WORD.findall(lines[j]) if w.lower() not in frequent]
-                if len(rare) >= len(run) and sum(w[0].isupper() for w in rare) >= NAMES * len(rare) and _alike(np.array([len(lines[j].strip()) for j in run], float)):
+                if len(rare) >= len(run) and sum(w[0].isupper() for w in rare) >= NAMES * len(rare) and _alike([len(lines[j].strip()) for j in run]):
                     found.update(run)
         run = [k] if short else []
     return found
@@ -180,26 +240,28 @@ def _repetitive(line: str) -> bool:
 def _kinds(lines: list[str], frequent: frozenset[str]) -> tuple[list[str], float]:
     """'prose', 'list', 'table', 'junk' or '' (blank) for each line; and the share of lines with aligned delimiters."""
     n = len(lines)
-    plain = [_TAG.sub("", x).strip() for x in lines]
-    words = [_WORD.findall(_URL.sub(" ", x).lower()) for x in plain]
-    common = [sum(w in frequent for w in ws) for ws in words]
+    plain = [(_TAG.sub("", x) if "<" in x or "[" in x or "&" in x else x).strip() for x in lines]
+    words = [_WORD.findall((_URL.sub(" ", x) if "@" in x or "://" in x or "www." in x else x).lower()) for x in plain]
+    common = [sum(map(frequent.__contains__, ws)) for ws in words]
     shapes = [_shape(x) for x in plain]
+    columns = [_columns(x) if len(s) > 1 else frozenset() for x, s in zip(lines, shapes)]
+    heads = [_head(x) for x in plain]
     kinds, aligned = [""] * n, 0
     filled = [k for k in range(n) if lines[k].strip()]
     place = {k: p for p, k in enumerate(filled)}
     listed = _listed(lines, frequent)
 
     def texty(k: int) -> bool:
-        if len(_KANA.findall(plain[k])) >= 0.2 * max(1, len(plain[k])):
+        if not plain[k].isascii() and len(_KANA.findall(plain[k])) >= 0.2 * max(1, len(plain[k])):
             return True
         return len(words[k]) >= 3 and common[k] >= max(1, 0.15 * len(words[k]))
 
     for k in filled:
         x = plain[k]
-        solid = _SPACES.sub("", x)
+        solid = "".join(x.split())
         p = place[k]
         near = [filled[q] for q in (p - 2, p - 1, p + 1, p + 2) if 0 <= q < len(filled)]
-        same = len(shapes[k]) >= 2 and sum(shapes[j] == shapes[k] for j in near) >= 1
+        same = _aligned(k, near, shapes, columns)
         aligned += same
         if _MARKED.match(lines[k]):
             kinds[k] = "table" if re.search(r"t[rdh]|table", lines[k][:40], re.I) else "list"
@@ -207,10 +269,10 @@ def _kinds(lines: list[str], frequent: frozenset[str]) -> tuple[list[str], float
         if not solid:
             kinds[k] = "markup"
             continue
-        letters = sum(c.isalpha() for c in solid)
+        letters = sum(map(str.isalpha, solid))
         in_words = sum(map(len, words[k]))
         is_text = texty(k)
-        if _ITEM.match(x) and (sum(bool(_ITEM.match(plain[j])) for j in near) >= 1 or len(filled) == 1):
+        if _marked_alike(k, near, heads, plain) or heads[k] not in ("", "0") and len(filled) == 1:
             kinds[k] = "list"
         elif same and not is_text:
             kinds[k] = "table"
@@ -249,9 +311,8 @@ def _settle(lines: list[str], kinds: list[str]) -> list[str]:
         if open_:
             count = {t: sum(len(lines[j].strip()) for j in block if kinds[j] == t) for t in ("prose", "list", "table", "junk")}
             size = sum(len(lines[j].strip()) for j in open_)
-            lengths = np.array([len(lines[j].strip()) for j in open_], float)
             ended = sum(_ends(lines[j]) for j in open_)
-            run = len(open_) >= 3 and lengths.mean() < 60
+            run = len(open_) >= 3 and size < 60 * len(open_)
             if count["prose"] >= 0.5 * size:
                 kind = "prose"
             elif max(count["list"], count["table"], count["junk"]) > 0 and len(block) > len(open_):
@@ -277,14 +338,14 @@ def document_stats(text: str | None, frequent: frozenset[str]) -> tuple:
     if text is None:
         return (0, 0, None, None, None, None, None, None, None, None, None, None, False)
     words = _WORD.findall(text)
-    solid = _SPACES.sub("", text)
+    solid = "".join(text.split())
     filled = [x for x in text.splitlines() if x.strip()]
-    symbols = sum(not c.isalnum() for c in solid)
-    lower = [w.lower() for w in words]
+    symbols = len(_ALNUM.sub("", solid)) + solid.count("_")
+    lower = map(str.lower, words)
     part = lambda a, b: round(a / b, 6) if b else None
     head = (
         len(text), len(words), part(sum(map(len, words)), len(words)), part(symbols, len(solid)),
-        part(sum(_ends(x) for x in filled), len(filled)), part(sum(w in frequent for w in lower), len(words)),
+        part(sum(_ends(x) for x in filled), len(filled)), part(sum(map(frequent.__contains__, lower)), len(words)),
     )
     lines = own_text(text)
     own = [x for x in lines if x.strip()]
@@ -297,28 +358,42 @@ def document_stats(text: str | None, frequent: frozenset[str]) -> tuple:
     indents = [len(x) - len(x.lstrip()) for x in own]
     shares = tuple(round(size[t] / total, 6) for t in ("list", "table", "junk"))
     structured = size["list"] + size["table"] + size["junk"] > STRUCTURED * total
-    return (*head, round(aligned, 6), round(_periodicity(indents), 6), round(_autocorrelation(np.array([len(x) for x in own], float)), 6), *shares, structured)
+    return (*head, round(aligned, 6), round(_periodicity(indents), 6), round(_autocorrelation([len(x) for x in own]), 6), *shares, structured)
+
+
+def _known_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(text, known): for each text of texts the frequent words that it has, by a join."""
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = [(h, w) for h, t in zip(b["h"], b["t"]) for w in sorted(set(_WORD.findall(t.lower())))]
+            yield pd.DataFrame(pairs, columns=["h", "word"])
+
+    found = lookup(texts.select("h", "t").where("t is not null").distinct().mapInPandas(split, "h string, word string"), words, ["word"], "left_semi")
+    return texts.join(found.groupBy("h").agg(F.collect_list("word").alias("known")), "h", "left")
 
 
 def text_stats(documents: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, *STATS), one row for each row of documents. words has a column ``word`` of frequent words in lower case; at
-    most MAX_WORDS distinct ones, which the workers hold. A row-wise Arrow map: no shuffle, and other columns of
-    documents aren't read."""
-    rows = words.select("word").where("word is not null").distinct().limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} frequent words")
-    frequent = frozenset(r["word"] for r in rows)
+    """(key, *STATS), one row for each row of documents. words has a column ``word`` of frequent words in lower case. Up to
+    MAX_WORDS distinct ones are held by the workers: then it is a row-wise Arrow map without a shuffle. Of more, each text
+    is first joined with those that it has. Other columns of documents aren't read."""
+    words = words.select("word").where("word is not null").distinct()
+    rows = words.limit(MAX_WORDS + 1).collect()
+    frequent = frozenset(r["word"] for r in rows) if len(rows) <= MAX_WORDS else None
     names = [c.split()[0] for c in STATS.split(", ")]
     kinds = {"long": "int64", "double": "float64", "boolean": "bool"}
     types = {c.split()[0]: kinds[c.split()[1]] for c in STATS.split(", ")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = pd.DataFrame([document_stats(None if t is None else t, frequent) for t in b.iloc[:, 1]], columns=names, index=b.index)
-            out.insert(0, key, b.iloc[:, 0])
+            known = [frequent] * len(b) if frequent is not None else [frozenset(() if k is None else k) for k in b["known"]]
+            out = pd.DataFrame([document_stats(t, k) for t, k in zip(b["t"], known)], columns=names, index=b.index)
+            out.insert(0, key, b["k"])
             yield out.astype(types)
 
-    return documents.select(key, text).mapInPandas(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, {STATS}")
+    x = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    if frequent is None:
+        x = _known_words(x.withColumn("h", F.sha2("t", 256)), words).select("k", "t", "known")
+    return x.mapInPandas(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, {STATS}")
 
 
 def structured_documents(documents: DataFrame, words: DataFrame) -> DataFrame:

@@ -165,6 +165,41 @@ def test_indentation_and_like_lengths_outweigh_ordinary_words(text, want):
     assert textstats.document_stats(text, frozenset(WORDS))[-1] is want
 
 
+INDENTED = "WANT:\n    A Road to the Sea\n    The Ferry of Winter\nHAVE:\n    It Was in the Rain\n    The Garden of Kesh"
+LONG = ["Silverroad Hillbarnlane Meadowbridge", "Harbourtown Greenfieldlibrary Owl, Sea", "Winterferry - Saltgarden Rainkeeper", "Oldbarn; Lasttrain Silverroad Kesh"]
+ROWS = "\n".join(f"{x.replace(',', '').replace(';', '').replace(' -', '')}\t{1950 + k}\tGreenfieldlibrary Harbourtown" for k, x in enumerate(LONG * 2))
+PADDED = "\n".join(f"{x:<40}  {1950 + k}  Greenfieldlibrary Harbourtown" for k, x in enumerate(LONG * 2))  # signs in cells: no row of signs comes back nearby
+ENUMERATED = "\n".join(f"{k} was in the shop and it is the {w}" for k, w in enumerate(["road", "hill", "barn", "sea", "owl"], 7))
+
+
+@pytest.mark.parametrize("text,signal,off", [
+    (INDENTED, "_recurs", lambda indents: [False] * len(indents)), ("\n".join(NAMES), "_alike", lambda x: False),
+    (ROWS, "_aligned", lambda *x: False), (PADDED, "_columns", lambda line: frozenset()), (ENUMERATED, "_marked_alike", lambda *x: False),
+])
+def test_every_signal_decides(monkeypatch, text, signal, off):
+    assert textstats.document_stats(text, frozenset(WORDS))[-1] is True
+    monkeypatch.setattr(textstats, signal, off)
+    assert textstats.document_stats(text, frozenset(WORDS))[-1] is False
+
+
+@pytest.mark.parametrize("text,want", [
+    ("*** this post was deleted ***", False), ("x said:\n| " + LIST.replace("\n", "\n| ") + "\n\n" + PROSE, False), ("12 of the shops and it is in\nthe story and so\n3 of it was good to the end", False),
+    ("- - - - -\n" + "\n".join(f"- Silver Road {k}" for k in range(9)), True), (PROSE + "\n~ Old Barn of Kesh\n12 records", False),
+    (PROSE + "\n--\n" + "\n".join(f"line {'abcdefghijkl'[k]} of the end" for k in range(12)), False), ("-----\n" + LIST + "\n" + LIST, True),
+])
+def test_signatures_quotes_and_emphasis(text, want):
+    assert textstats.document_stats(text, frozenset(WORDS))[-1] is want
+
+
+def test_more_frequent_words_than_workers_hold(spark, monkeypatch):
+    df = spark.createDataFrame([(1, PROSE), (2, None), (3, ""), (4, LIST), (4, PROSE)], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in WORDS] + [(None,)], "word string")
+    rows = lambda: sorted(map(tuple, textstats.text_stats(df, words).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(textstats, "MAX_WORDS", 2)
+    assert rows() == want and len(want) == 5
+
+
 def test_stats_frame(spark):
     df = spark.createDataFrame([(1, PROSE, 5), (2, None, 5), (3, "", 5), (4, "a b.\ncc", 5)], "doc_id long, text string, n_words int")
     words = spark.createDataFrame([(w,) for w in WORDS] + [(None,)], "word string")
