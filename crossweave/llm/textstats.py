@@ -73,7 +73,7 @@ def _attributes(lines: list[str], k: int) -> bool:
     if not lines[k].rstrip().endswith(":"):
         return False
     after = next((x.strip() for x in lines[k + 1 : k + 3] if x.strip()), "")
-    return bool(_QUOTED_LINE.match(after)) or after.startswith("|") and "|" not in after[1:]
+    return bool(_QUOTED_LINE.match(after)) or after.startswith("|") and not after.endswith("|")
 
 
 def own_text(text: str) -> list[str]:
@@ -141,6 +141,9 @@ def _head(line: str) -> str:
     head = x[: m.start()] if m else x[:12]
     if not head or not (head[-1].isspace() or head[-1] in ")]") or m and x.endswith(head.strip() or " "):  # the same at the end: emphasis
         return ""
+    bare = head.strip()
+    if len(bare) > 1 and bare == bare[::-1] and _SINGLE.search(bare):  # a single letter, emphasised
+        return ""
     signs = _SPACES.sub("", _DIGITS.sub("0", _SINGLE.sub("", head)))
     return signs[:8]
 

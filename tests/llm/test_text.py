@@ -183,7 +183,7 @@ def test_every_signal_decides(monkeypatch, text, signal, off):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("*** this post was deleted ***", False), ("x said:\n| " + LIST.replace("\n", "\n| ") + "\n\n" + PROSE, False), ("12 of the shops and it is in\nthe story and so\n3 of it was good to the end", False),
+    ("*** this post was deleted ***", False), ("**I** was in the shop and it is good", False), ("x said:\n| %*$|* <> ~~ $$ |*\n| *|%%|$ <<>> ~~ %%$\n\n" + PROSE, False), ("x said:\n| " + LIST.replace("\n", "\n| ") + "\n\n" + PROSE, False), ("12 of the shops and it is in\nthe story and so\n3 of it was good to the end", False),
     ("- - - - -\n" + "\n".join(f"- Silver Road {k}" for k in range(9)), True), (PROSE + "\n~ Old Barn of Kesh\n12 records", False),
     (PROSE + "\n--\n" + "\n".join(f"line {'abcdefghijkl'[k]} of the end" for k in range(12)), False), ("-----\n" + LIST + "\n" + LIST, True),
 ])
