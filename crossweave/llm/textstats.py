@@ -73,7 +73,7 @@ def _attributes(lines: list[str], k: int) -> bool:
     if not lines[k].rstrip().endswith(":"):
         return False
     after = next((x.strip() for x in lines[k + 1 : k + 3] if x.strip()), "")
-    return bool(_QUOTED_LINE.match(after)) or after.startswith("|") and not after.endswith("|")
+    return bool(_QUOTED_LINE.match(after)) or after.startswith("|") and (after == "|" or not after.endswith("|"))
 
 
 def own_text(text: str) -> list[str]:
