@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crossweave.operators.logic import softplus_loss
+
 
 class Metric(Enum):
     """Metrics by name; the number after @ is k."""
 
     AUC = "AUC"
+    LOSS = "LOSS"
     NDCG10 = "NDCG@10"
     HR10 = "HR@10"
 
@@ -20,6 +23,11 @@ class Metric(Enum):
     def k(self) -> int | None:
         return int(self.value.split("@")[1]) if "@" in self.value else None
 
+    @property
+    def of_pairs(self) -> bool:
+        """Whether it is taken of pairs of scores instead of candidate rankings."""
+        return self in (Metric.AUC, Metric.LOSS)
+
 
 ROW = ["uid", "pos_iid"]
 
@@ -69,9 +77,11 @@ def eval_summary(rows: DataFrame, n_shared: int) -> DataFrame:
 
 
 def compute(metric: Metric, table: DataFrame) -> DataFrame:
-    """The rows of a metric: pairs (uid, pos_score, neg_score) for AUC, candidates for the others."""
+    """The rows of a metric: pairs (uid, pos_score, neg_score) for AUC and LOSS, candidates for the others."""
     if metric is Metric.AUC:
         return auc_user_macro(table)
+    if metric is Metric.LOSS:
+        return table.agg(F.round(F.avg(softplus_loss(F.col("pos_score"), F.col("neg_score"))), 6).alias("loss"))
     if metric is Metric.NDCG10:
         return ndcg_at_k(table, metric.k)
     if metric is Metric.HR10:

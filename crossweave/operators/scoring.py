@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crossweave.operators.scale import lookup
+from crossweave.operators.scale import lookup, rank_in_groups
 
 #: Users and items of a block; a task holds one block of scores of USER_BLOCK x ITEM_BLOCK doubles.
 USER_BLOCK, ITEM_BLOCK = 512, 4096
+#: Places of one user that one window ranks at most.
+WINDOW_ROWS = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,8 +56,9 @@ def top_scores(users: DataFrame, items: DataFrame) -> DataFrame:
     descending, rounded to 6 places, then iid.
 
     Blocks of users meet blocks of items; a block pair is one matrix product that gives on each user's best ``need``
-    items only, so all pairs are scored but never become rows. Then a window over at most need rows for each item block
-    ranks them. Neither side goes through the driver."""
+    items only, so all pairs are scored but never become rows. What is left of a user, at most need rows for each item
+    block, is ranked in a window, or, if one user could have more than WINDOW_ROWS, in sorted ranges that cut users up.
+    Neither side goes through the driver."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,6 +91,12 @@ def top_scores(users: DataFrame, items: DataFrame) -> DataFrame:
     left, right = _blocks(users, "uid", USER_BLOCK, ["need"]), _blocks(items, "iid", ITEM_BLOCK)
     met = left.repartition(F.col("uids")[0]).join(right)  # every block of users with every block of items
     rows = met.mapInArrow(best, "uid long, iid long, score double")
-    ranks = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "iid"))
-    x = rows.withColumn("rank", ranks).join(users.select("uid", "need"), "uid")
+    order = [F.desc("score"), "iid"]
+    most = users.agg(F.coalesce(F.max("need"), F.lit(0))).first()[0]
+    n_items, last = items.agg(F.count(F.lit(1)), F.coalesce(F.max("iid"), F.lit(0))).first()
+    if min(n_items, most * (last // ITEM_BLOCK + 1)) > WINDOW_ROWS:
+        ranks = rank_in_groups(rows, ["uid"], order, "rank").withColumn("rank", F.col("rank").cast("int"))
+    else:
+        ranks = rows.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(*order)))
+    x = lookup(ranks, users.select("uid", "need"), ["uid"])
     return x.where(F.col("rank") <= F.col("need")).select("uid", "iid", "score", "rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,18 +123,29 @@ class Fixture:
     def n_vectors(self) -> int:
         return self.vectors.count()
 
-    def factors(self, ids: DataFrame, key: str, biased: bool = True) -> DataFrame:
+    def factors(self, ids: DataFrame, key: str) -> DataFrame:
         """(key, v, b) of a frozen model: each id has one of the embedding vectors."""
         n = self.n_vectors
         at = F.col(key) % n if key == "uid" else (F.col(key) * 7 + 3) % n
-        bias = (((F.col(key) * 37) % 101) / 1000) if biased else F.lit(0.0)
+        bias = ((F.col(key) * 37) % 101) / 1000
         return ids.select(key, at.alias("vec_id"), bias.alias("b")).join(self.vectors, "vec_id").select(key, "v", "b")
 
+    @cached_property
+    def _factors(self) -> dict[tuple[str, str], DataFrame]:
+        return {}
+
+    def _model(self, d: str, key: str, biased: bool) -> DataFrame:
+        if (d, key) not in self._factors:
+            ids = self.users[d] if key == "uid" else self.items[d]
+            self._factors[d, key] = self._keep(f"factors_{key}_{d}", self.factors(ids.select(key), key))
+        x = self._factors[d, key]
+        return x if biased else x.withColumn("b", F.lit(0.0))
+
     def user_factors(self, d: str, biased: bool = True) -> DataFrame:
-        return self.factors(self.users[d].select("uid"), "uid", biased)
+        return self._model(d, "uid", biased)
 
     def item_factors(self, d: str, biased: bool = True) -> DataFrame:
-        return self.factors(self.items[d].select("iid"), "iid", biased)
+        return self._model(d, "iid", biased)
 
     def score(self, pairs: DataFrame, d: str, biased: bool = True) -> DataFrame:
         return scoring.score_pairs(pairs, self.user_factors(d, biased), self.item_factors(d, biased), GLOBAL_BIAS if biased else 0.0)
@@ -225,6 +237,19 @@ def reg_batch(f: Fixture, size: int, seed: int) -> DataFrame:
 _known: dict[tuple[str, str], Fixture] = {}
 
 
+def forget() -> None:
+    """Removes the tables of all fixtures made in this process, as happens at its end."""
+    while _known:
+        _, f = _known.popitem()
+        try:
+            f.store.clear()
+        except Exception:  # the session is gone: nothing can be reached
+            pass
+
+
+atexit.register(forget)
+
+
 def fixture(spark: SparkSession, folder: str) -> Fixture:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _known:

@@ -16,6 +16,6 @@ def stream_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_implicit(spark: SparkSession, folder: str) -> DataFrame:
-    """(userId, itemId, r) of CSV files in the schema's column order as they arrive."""
-    ratings = spark.readStream.schema(RATINGS).option("header", True).csv(folder)
+    """(userId, itemId, r) of CSV files with the columns of RATINGS as they arrive; a header in another order is an error."""
+    ratings = spark.readStream.schema(RATINGS).option("header", True).option("enforceSchema", False).csv(folder)
     return ratings.select("userId", "itemId", implicit(F.col("rating")).alias("r"))

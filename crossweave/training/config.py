@@ -62,6 +62,14 @@ class Experiment:
             raise ValueError("sparsity_sh, the share of shared users' rows that is kept, has to be between 0 and 1")
 
 
+def mf_experiment(source: str, target: str, **changes) -> Experiment:
+    """The configuration of the models without a transfer: any pair whose data sets have tuned parameters."""
+    if source not in SOURCE_MF or target not in TARGET_MF:
+        raise KeyError(f"no hyperparameters for {source} and {target}")
+    seed = changes.get("seed", 0)
+    return Experiment(source, target, **{"source_split": LeaveOneOut(seed), "target_split": LeaveOneOut(seed), "source_mf": SOURCE_MF[source], "target_mf": TARGET_MF[target], **changes})
+
+
 def experiment(source: str, target: str, **changes) -> Experiment:
     """The tuned configuration of a registered pair; the seed also draws both splits, unless changes name others."""
     if (source, target) not in TARGET_LTN:

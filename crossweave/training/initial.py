@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,11 @@ def _normal(seed: int, key: Column, salt: str, dim: Column) -> Column:
     return F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
 
 
+def global_bias(seed: int) -> float:
+    """A number in [0, 1), the same for the same seed. It moves all scores of a model alike and so no ranking."""
+    return int(hashlib.md5(f"{seed}|global bias".encode()).hexdigest()[:13], 16) / 16**13
+
+
 def factors(ids: DataFrame, key: str, n_rows: int, k: int, seed: int) -> DataFrame:
     """(key, v ARRAY<DOUBLE>, b DOUBLE) for every id: normal with the deviation sqrt(2 / (n_rows + k)) for factors and
     sqrt(2 / (n_rows + 1)) for the bias."""

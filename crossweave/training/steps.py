@@ -20,11 +20,16 @@ from crossweave.operators.scoring import dot, sigmoid
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 
 
-def with_differences(triples: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+#: Whether the users' and the items' factors are small enough to be broadcast; None measures them at each step.
+Small = tuple[bool, bool] | None
+
+
+def with_differences(triples: DataFrame, users: DataFrame, items: DataFrame, small: Small = None) -> DataFrame:
     """triples (uid, pos_iid, neg_iid) with vectors pu, qd = q_pos - q_neg and d."""
-    x = lookup(triples.select("uid", "pos_iid", "neg_iid"), users.select("uid", F.col("v").alias("pu")), ["uid"])
+    of_users, of_items = small or (None, None)
+    x = lookup(triples.select("uid", "pos_iid", "neg_iid"), users.select("uid", F.col("v").alias("pu")), ["uid"], small=of_users)
     side = lambda s: items.select(F.col("iid").alias(f"{s}_iid"), F.col("v").alias(f"q_{s}"), F.col("b").alias(f"b_{s}"))
-    x = lookup(lookup(x, side("pos"), ["pos_iid"]), side("neg"), ["neg_iid"])
+    x = lookup(lookup(x, side("pos"), ["pos_iid"], small=of_items), side("neg"), ["neg_iid"], small=of_items)
     x = x.withColumn("qd", F.zip_with("q_pos", "q_neg", lambda a, b: a.cast("double") - b.cast("double")))
     return x.withColumn("d", dot(F.col("pu"), F.col("qd")) + F.col("b_pos") - F.col("b_neg")).select("uid", "pos_iid", "neg_iid", "pu", "qd", "d")
 
@@ -105,9 +110,14 @@ def mf_step(triples: DataFrame, users: DataFrame, items: DataFrame, learning_rat
     return long_form(adamw(state(users, items), grads, 1, learning_rate, weight_decay))
 
 
-def ltn_gradients(triples: DataFrame, reg: DataFrame, users: DataFrame, items: DataFrame, p1: float, p2: float, p_sat: float) -> DataFrame:
+def axiom_gradients(triples: DataFrame, users: DataFrame, items: DataFrame, p: float, small: Small = None) -> DataFrame:
+    """Gradients of 1 - sat of the first axiom alone."""
+    return gradients(axiom_coefficients(with_differences(triples, users, items, small), p, F.lit(-1.0)), _size(users))
+
+
+def ltn_gradients(triples: DataFrame, reg: DataFrame, users: DataFrame, items: DataFrame, p1: float, p2: float, p_sat: float, small: Small = None) -> DataFrame:
     """Gradients of 1 - SatAgg of both axioms."""
-    one, two = with_differences(triples, users, items), with_differences(reg, users, items)
+    one, two = with_differences(triples, users, items, small), with_differences(reg, users, items, small)
     sat = lambda x, p: x.agg(F.coalesce(logic.forall(sigmoid(F.col("d")), p), F.lit(1.0)).alias("a")).scalar()
     k = _size(users)
     parts = []

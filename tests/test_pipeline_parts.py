@@ -198,7 +198,9 @@ def test_negatives(spark):
     assert len(x) == 50 and all(0 <= r.iid < 20 and r.is_false == int(r.iid % 2 == 0) for r in x)
 
 
-def test_top_scores(spark, monkeypatch):
+@pytest.mark.parametrize("most", [2_000_000, 3])
+def test_top_scores(spark, monkeypatch, most):
+    monkeypatch.setattr(scoring, "WINDOW_ROWS", most)
     monkeypatch.setattr(scoring, "USER_BLOCK", 3)
     monkeypatch.setattr(scoring, "ITEM_BLOCK", 4)
     rng = np.random.default_rng(0)

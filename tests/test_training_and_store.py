@@ -12,7 +12,7 @@ from crossweave.sources.readers import Registry, read_paths, read_ratings
 from crossweave.sources.store import Store, config_key
 from crossweave.streaming.readers import stream_implicit, stream_paths
 from crossweave.training import batches, initial, steps, sweep
-from crossweave.training.config import Experiment, LtnParams, MfParams, experiment
+from crossweave.training.config import Experiment, LtnParams, MfParams, experiment, mf_experiment
 
 K = 3
 
@@ -208,6 +208,74 @@ def test_an_epoch_is_all_positives(spark, tmp_path, monkeypatch):
     assert [r.epoch for r in p.store.read("metrics").orderBy("epoch").collect()] == [1, 2]
 
 
+def _small(spark, tmp_path, **more):
+    rows = lambda x: spark.createDataFrame([(f"u{u}", f"{x}{i}", 5.0 if (u + i) % 3 else 1.0) for u in range(3) for i in range(18)], "userId string, itemId string, rating double")
+    config = Experiment("a", "b", source_mf=MfParams(2, 0.05, 0.01, 64), target_ltn=LtnParams(2, 0.05, 0.01, 64, 3, 2, 2), epochs=1, eval_draws=6, eval_kept=4, **more.pop("config", {}))
+    return Pipeline(rows("s"), rows("t"), spark.createDataFrame([], "n1_asin string, n2_asin string"), config, str(tmp_path), **more)
+
+
+def own_draws(positives, matrix, n_items, m, seed):
+    """Always the last item."""
+    x = positives.select("uid", "pos_iid", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("draw"))
+    return x.withColumn("iid", F.lit(n_items - 1).cast("long")).withColumn("is_false", F.lit(0))
+
+
+def test_hooks_projections_and_losses(spark, tmp_path):
+    p = _small(spark, tmp_path, config={"metric": Metric.LOSS, "sparsity_sh": 1.0}, sampler=own_draws)
+    assert p.store.folder != _small(spark, tmp_path, config={"metric": Metric.LOSS, "sparsity_sh": 1.0}).store.folder
+    assert {r.neg_iid for r in p._epoch("tgt", 0, 64).collect()} == {17}
+    assert set(p.comparison_tables) == set(p.target_tables) - {"sim", "src_matrix"} and set(p.pretrain_tables) == {"train", "val", "test", "matrix", "users", "items"}
+    users, items = p.target_axiom
+    assert users.count() == 3 and items.count() == 18
+    assert p.store.read("metrics").where("model = 'target_axiom'").first().score < 0  # a loss below 0: higher is better
+    model = (p.users["tgt"].selectExpr("uid", "array(0D) as v", "0D as b"), p.items["tgt"].selectExpr("iid", "array(0D) as v", "0D as b"))
+    assert abs(p._validate("tgt")(*model) + math.log(2)) < 1e-6
+
+
+def test_axiom_gradient(spark):
+    p, q, b = _model(np.random.default_rng(6))
+    users, items = _frames(spark, p, q, b)
+    one = lambda *x: ((1 - 1 / (1 + np.exp(-_d(*x, ONE)))) ** 3).mean() ** (1 / 3)
+    _check(steps.axiom_gradients(spark.createDataFrame(ONE, "uid long, pos_iid long, neg_iid long"), users, items, 3, (True, True)), one, p, q, b)
+
+
+def test_over_seeds_and_biases():
+    assert 0 <= initial.global_bias(1) < 1 and initial.global_bias(1) != initial.global_bias(2)
+    assert mf_experiment("books", "music", seed=3).target_split.seed == 3
+    with pytest.raises(KeyError):
+        mf_experiment("music", "books")
+
+
+def _numpy_epoch(p, q, b, batches, lr, decay):
+    """Batches of AdamW on the pairwise loss, from fresh moments."""
+    w = {("user", k): np.append(x, 0.0) for k, x in enumerate(p)} | {("item", k): np.append(x, y) for k, (x, y) in enumerate(zip(q, b))}
+    m, s = {k: np.zeros(K + 1) for k in w}, {k: np.zeros(K + 1) for k in w}
+    for t, batch in enumerate(batches, 1):
+        g = {k: np.zeros(K + 1) for k in w}
+        for u, i, j in batch:
+            pu, qi, qj = w["user", u], w["item", i], w["item", j]
+            d = pu[:K] @ (qi[:K] - qj[:K]) + qi[K] - qj[K]
+            c = -1 / (1 + np.exp(d)) / len(batch)
+            g["user", u][:K] += c * (qi[:K] - qj[:K])
+            g["item", i] += c * np.append(pu[:K], 1.0)
+            g["item", j] -= c * np.append(pu[:K], 1.0)
+        for k in w:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * s[k] + 0.001 * g[k] ** 2
+            w[k] = w[k] * (1 - lr * decay) - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def test_an_epoch_equals_numpy(spark):
+    p, q, b = _model(np.random.default_rng(7))
+    users, items = _frames(spark, p, q, b)
+    parts = [ONE[:2], ONE[2:], TWO]
+    frames = [spark.createDataFrame(x, "uid long, pos_iid long, neg_iid long") for x in parts]
+    grad = lambda step, u, i: steps.gradients(steps.bpr_coefficients(steps.with_differences(frames[step - 1], u, i, (True, True))), K)
+    best, _ = steps.train(users, items, grad, 1, 0.05, 0.1, batches=3)
+    want = _numpy_epoch(p, q, b, parts, 0.05, 0.1)
+    assert all(np.allclose(r.w, want[r.entity, r.id], atol=1e-9) for r in best.collect())
+
+
 def test_whole_experiment(spark, tmp_path):
     rows = lambda items, users: spark.createDataFrame([(f"u{u}", f"{items}{i}", float(1 + (u * 7 + i * 3 + u * i) % 5)) for u in users for i in range(60)], "userId string, itemId string, rating double")
     paths = spark.createDataFrame([(f"s{i}", f"t{i}") for i in range(60)], "n1_asin string, n2_asin string")
