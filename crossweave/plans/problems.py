@@ -41,9 +41,8 @@ def _key_results(spark: SparkSession, d: str, partners: bool = True) -> DataFram
 
 def p3_found(spark, d):
     counts = _key_results(spark, d, partners=False).select("table_name", "field_name", "key_value", "n_rows")  # one aggregation serves totals and keys
-    x = keyed.heavy_keys(counts, ["table_name"], (1, 100))
-    x = x.where("not (table_name = 'item_scores' and field_name = 'itemId')")
-    return x.select("table_name", "field_name", "key_value")
+    counts = counts.where("not (table_name = 'item_scores' and field_name = 'itemId')")
+    return keyed.heavy_keys(counts, ["table_name"], (1, 100)).select("table_name", "field_name", "key_value")
 
 
 def p3_keys(spark, d):
