@@ -9,8 +9,9 @@ Jaccard similarity of the users' shingles, plus the same of the items', plus 0.1
 
 * Records of one user and item always agree in two segments and have a similarity of 0.8 or more, whatever their time
   and rating: none is lost. They are 'same'.
-* 'near' records have an id that is written a little differently, with the other id and the second agreeing. The radius
-  is three deviations above the mean distance of the least similar of these, so about one in a thousand may be lost.
+* 'near' records are all others that reach 0.8. Those whose fingerprints don't meet (both ids written differently, another
+  time, an id beyond the radius) are found by ``missed_pairs``, which is exact: such a similarity bounds how many shingles
+  differ, so of one more parts of the shingles than that, one part is equal on both sides, and equal parts are joined.
 
 Records of one split that are alike in all parts are one class until the end, so copies never meet row by row before the
 match is verified. Blocks that only one side has are dropped before records travel, and blocks with many pairs are dealt.
@@ -96,27 +97,119 @@ def _blocks(classes: DataFrame) -> DataFrame:
     return classes.select("*", F.explode(found).alias("_b")).select(*classes.columns, "_b.*")
 
 
-def overlapping_classes(rows: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("val", "test")) -> DataFrame:
-    """(dom, split, kind, similarity, distance, n_train, n_held, and user_key, item_key, r, second of both sides with the
-    suffixes _a for train and _b): all pairs of a train class and a held-out class that are the same or nearly. The classes
-    with their codes, and the blocks that both sides have, are checkpointed."""
-    x = _blocks(cut(record_classes(rows))).withColumn("mine", F.col("split") == train).where(F.col("mine") | F.col("split").isin(*held_out))
+def _meet(x: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs of rows of x (block, mine, *columns) of one block, a mine and a not mine: columns with the suffixes _a and
+    _b. Blocks that only one side has are dropped first, and blocks with many pairs are dealt."""
     counts = x.groupBy("block").agg(F.count(F.when(F.col("mine"), 1)).alias("_t"), F.count(F.when(~F.col("mine"), 1)).alias("_h")).where("_t > 0 and _h > 0")
     live = cut(counts.select("block", F.ceil(F.col("_t") * F.col("_h") / PAIRS_A_TASK).cast("int").alias("parts")))
     x = lookup(x, live, ["block"])
-    side = lambda df, s: df.select("block", "part", "k", F.col("dom").alias(f"dom_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("user_key", "item_key", "r", "second", "split", "n", "fu", "fi")])
+    side = lambda df, s: df.select("block", "part", *[F.col(c).alias(f"{c}_{s}") for c in columns])
     a = side(x.where("mine").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a")
-    b = side(x.where("not mine").withColumn("part", F.pmod(F.xxhash64(*PARTS), F.col("parts")).cast("int")), "b")
-    met = a.join(b, ["block", "part", "k"]).where("dom_a = dom_b")
+    b = side(x.where("not mine").withColumn("part", F.pmod(F.xxhash64(*columns), F.col("parts")).cast("int")), "b")
+    return a.join(b, ["block", "part"])
+
+
+CLASS = [*PARTS, "split", "n", "fu", "fi"]
+#: Seconds with no more pairs than this are met as they are.
+PAIRS_A_SECOND = 10_000
+#: What the likest ids of records of one second have to share, and both ids of others: the most that time and rating add is
+#: 0.2 and 0.05. Less a margin for rounding.
+LIKE_ONE, LIKE_BOTH = (SIMILAR - 0.2) / 0.8 - 1e-4, (SIMILAR - 0.05) / 0.4 - 1 - 1e-4
+
+
+def _by_fingerprint() -> tuple[Column, Column]:
+    """The Hamming distance of two classes, and whether their fingerprints make them candidates."""
     far = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    met = met.withColumn("distance", far("fu") + far("fi"))
+    distance = far("fu") + far("fi")
+    second = F.coalesce(F.col("second_a") == F.col("second_b"), F.lit(False))
+    return distance, (distance == 0) | (second & ((far("fu") == 0) | (far("fi") == 0)) & (distance <= RADIUS))
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """The pairs of classes (with mine) that two segments and the radius make candidates, with their distance."""
+    met = _meet(_blocks(classes), [*CLASS, "k"]).where("dom_a = dom_b and k_a = k_b")
+    distance, near = _by_fingerprint()
+    met = met.withColumn("distance", distance)
     # a pair that agrees in several blocks counts in the first one only, in which all of it is decided
-    first = F.when(F.col("distance") == 0, 0).when(far("fu") == 0, 1).otherwise(2)
-    met = met.where((F.col("k") == first) & (F.col("distance") <= RADIUS))
-    near = 0.4 * jaccard(F.col("user_key_a"), F.col("user_key_b")) + 0.4 * jaccard(F.col("item_key_a"), F.col("item_key_b"))
-    value = near + F.when(F.col("second_a") == F.col("second_b"), 0.15).otherwise(0.0) + F.when(F.col("r_a") == F.col("r_b"), 0.05).otherwise(0.0)
+    first = F.when(F.col("distance") == 0, 0).when(F.col("fu_a") == F.col("fu_b"), 1).otherwise(2)
+    return met.where((F.col("k_a") == first) & near).drop("block", "part", "k_a", "k_b")
+
+
+def like_blocks(key: Column, least: float) -> Column:
+    """Hashes of parts of the key's shingles, of which two keys with a Jaccard similarity of ``least`` or more have one in
+    common: 2 n (1 - least) / (1 + least) shingles differ at most, n being those of the longer key, and the shingles are
+    cut into one part more by hash. A key has the parts for its own n and for the longer ones that it may meet."""
+    x = shingles(key)
+    parts = lambda n: (F.floor(n * (2 * (1 - least) / (1 + least))) + 1).cast("int")
+    part = lambda m, j: F.xxhash64(m, j, F.sort_array(F.filter(x, lambda s: F.pmod(F.hash(s), m) == j)))
+    every = F.sequence(parts(F.size(x)), parts(F.floor(F.size(x) / least)))
+    return F.flatten(F.transform(every, lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda j: part(m, j))))
+
+
+def _met_once(x: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs of rows of x (blocks, mine, *columns) with a block in common, each once."""
+    met = _meet(x.withColumn("blocks", F.array_distinct("blocks")).withColumn("block", F.explode("blocks")), [*columns, "blocks"])
+    return met.where(F.col("block") == F.array_min(F.array_intersect("blocks_a", "blocks_b"))).drop("block", "part", "blocks_a", "blocks_b")
+
+
+def _like_keys(classes: DataFrame, c: str) -> DataFrame:
+    """(dom, c, likes): of the held-out keys with such, the other train keys that are as like as LIKE_BOTH."""
+    keys = classes.select("dom", F.col(c).alias("key"), "mine").distinct()
+    salted = F.transform(like_blocks(F.col("key"), LIKE_BOTH), lambda h: F.xxhash64("dom", h))
+    met = _met_once(cut(keys.withColumn("blocks", salted)), ["dom", "key"])
+    met = met.where((F.col("dom_a") == F.col("dom_b")) & (F.col("key_a") != F.col("key_b"))).where(jaccard(F.col("key_a"), F.col("key_b")) >= LIKE_BOTH)
+    return met.groupBy(F.col("dom_b").alias("dom"), F.col("key_b").alias(c)).agg(F.collect_set("key_a").alias(f"{c}_likes"))
+
+
+def missed_pairs(classes: DataFrame) -> DataFrame:
+    """The pairs of classes (with mine) that may reach SIMILAR though their fingerprints don't make them candidates.
+
+    Of one second: the likest ids agree in a part of their shingles, see like_blocks; seconds with few pairs need no parts.
+    Of other seconds: both ids are the same or very like, so held-out classes look for train classes under the ids that
+    are like theirs."""
+    timed = classes.where("second is not null")
+    count = lambda mine: F.count(F.when(F.col("mine") == mine, 1))
+    seconds = timed.groupBy("dom", "second").agg(count(True).alias("_t"), count(False).alias("_h")).where("_t > 0 and _h > 0")
+    timed = cut(lookup(timed, cut(seconds.select("dom", "second", (F.col("_t") * F.col("_h") > PAIRS_A_SECOND).alias("_many"))), ["dom", "second"]))
+    of = lambda k, *ids: F.xxhash64(F.lit(k), "dom", *ids)
+    each = lambda k, c: F.transform(like_blocks(F.col(c), LIKE_ONE), lambda h: of(k, "second", h))
+    blocks = F.when(F.col("_many"), F.concat(each(0, "user_key"), each(1, "item_key"))).otherwise(F.array(of(2, "second")))
+    found = _met_once(timed.withColumn("blocks", blocks), CLASS).where("second_a = second_b")
+
+    likes = {c: cut(_like_keys(classes, c)) for c in ("user_key", "item_key")}
+    if not all(x.isEmpty() for x in likes.values()):
+        found = found.unionByName(_other_seconds(classes, likes))
+    distance, near = _by_fingerprint()
+    return found.where("dom_a = dom_b").withColumn("distance", distance).where(~near)
+
+
+def _other_seconds(classes: DataFrame, likes: dict[str, DataFrame]) -> DataFrame:
+    """The pairs of classes of other seconds, or without, whose ids are the same or one of each other's likes."""
+    held = classes.where("not mine")
+    for c, x in likes.items():
+        held = lookup(held, x, ["dom", c], "left")
+    of = lambda *ids: F.xxhash64("dom", *ids)
+    both = lambda c: F.concat(F.array(c), F.coalesce(f"{c}_likes", F.array().cast("array<string>")))
+    held = held.where("user_key_likes is not null or item_key_likes is not null")
+    held = held.withColumn("blocks", F.flatten(F.transform(both("user_key"), lambda u: F.transform(both("item_key"), lambda i: of(u, i))))).select(*CLASS, "mine", "blocks")
+    train = classes.where("mine").select(*CLASS, "mine", F.array(of("user_key", "item_key")).alias("blocks"))
+    return _met_once(train.unionByName(held), CLASS).where("second_a is null or second_b is null or second_a != second_b")
+
+
+def overlapping_classes(rows: DataFrame, train: str = "train", held_out: tuple[str, ...] = ("val", "test"), near: bool = True) -> DataFrame:
+    """(dom, split, kind, similarity, distance, n_train, n_held, and user_key, item_key, r, second of both sides with the
+    suffixes _a for train and _b): all pairs of a train class and a held-out class that are the same or nearly. Without
+    ``near`` all that are the same, none of which fingerprints miss. The classes with their codes, and the blocks that both
+    sides have, are checkpointed."""
+    classes = cut(record_classes(rows)).withColumn("mine", F.col("split") == train).where(F.col("mine") | F.col("split").isin(*held_out))
+    met = fingerprint_pairs(classes)
+    if near:
+        met = met.unionByName(missed_pairs(classes))
+    value = 0.4 * jaccard(F.col("user_key_a"), F.col("user_key_b")) + 0.4 * jaccard(F.col("item_key_a"), F.col("item_key_b"))
+    value = value + F.when(F.col("second_a") == F.col("second_b"), 0.15).otherwise(0.0) + F.when(F.col("r_a") == F.col("r_b"), 0.05).otherwise(0.0)
     same = (F.col("user_key_a") == F.col("user_key_b")) & (F.col("item_key_a") == F.col("item_key_b"))
-    met = met.withColumns({"similarity": F.round(value, 6), "kind": F.when(same, "same").otherwise("near")}).where(F.col("similarity") >= SIMILAR)
+    met = met.withColumns({"similarity": F.round(value, 6), "kind": F.when(same, "same").otherwise("near")})
+    met = met.where((F.col("similarity") >= SIMILAR) if near else same)
     both = [f"{c}_{s}" for s in "ab" for c in ("user_key", "item_key", "r", "second")]
     return met.select(F.col("dom_a").alias("dom"), F.col("split_b").alias("split"), "kind", "similarity", "distance", F.col("n_a").alias("n_train"), F.col("n_b").alias("n_held"), *both)
 
@@ -136,7 +229,7 @@ def overlapping_rows(df: DataFrame) -> DataFrame:
     dealt to parts, and its train rows go to each part."""
     rows = record_rows(df).select("row_id", "dom", "split", "user_key", "item_key")
     link = ["dom", "user_key", "item_key"]
-    same = overlapping_classes(record_rows(df)).where("kind = 'same'")
+    same = overlapping_classes(record_rows(df), near=False)
     found = same.groupBy("dom", F.col("user_key_a").alias("user_key"), F.col("item_key_a").alias("item_key")).agg(F.sum(F.col("n_train") * F.col("n_held")).alias("pairs"))
     parts = cut(found.select(*link, F.ceil(F.col("pairs") / PAIRS_A_TASK).cast("int").alias("parts")))
     own = lookup(rows, parts, link)

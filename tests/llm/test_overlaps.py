@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from crossweave.llm import overlaps
@@ -69,6 +70,33 @@ def test_every_near_record_is_found(spark):
     assert len(found) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("pairs_a_second", [0, 10_000])
+def test_no_near_record_is_left_out(spark, monkeypatch, pairs_a_second):
+    """Both ids written wrongly, long ids at another time or without one, and ids beyond the radius, against brute force."""
+    monkeypatch.setattr(overlaps, "PAIRS_A_SECOND", pairs_a_second)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(n))
+
+    def typo(x):
+        k = rng.randrange(len(x))
+        return x[:k] + rng.choice(["", "Z", x[k] + "Z"]) + x[k + 1 :]
+
+    base = [(word(n), word(n), k % 2, NOW + timedelta(seconds=k // 25)) for k in range(100) for n in (12, 60)]
+    rows = [(k, "src", u, i, "train", r, t, 1, 1) for k, (u, i, r, t) in enumerate(base)]
+    for k, (u, i, r, t) in enumerate(base):
+        kind = k // 2 % 4
+        u, i = typo(u) if kind != 3 else u + u[:1], typo(i) if kind != 2 else i
+        rows.append((1000 + k, "src", u, i, "test", r, [t, t + timedelta(days=9), None, t][kind], 1, 1))
+    rows += [(5000, "src", "AAAA", "BBBBBB", "train", 0, None, 1, 1), (5001, "src", "AAAAAA", "BBBB", "val", 1, NOW, 1, 1)]  # other ids of equal shingles
+    sets = lambda x: {f"^{x}$"[k : k + 3] for k in range(len(x))}
+    near = lambda x, y: len(sets(x) & sets(y)) / len(sets(x) | sets(y))
+    value = lambda a, b: 0.4 * near(a[2], b[2]) + 0.4 * near(a[3], b[3]) + 0.15 * (a[6] is not None and a[6] == b[6]) + 0.05 * (a[5] == b[5])
+    want = {(a[2], a[3], b[2], b[3]): round(value(a, b), 6) for a in rows if a[4] == "train" for b in rows if b[4] != "train" and value(a, b) >= overlaps.SIMILAR - 1e-9}
+    got = overlaps.overlapping_classes(overlaps.record_rows(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(got) == len(want) > 70 and {(r.user_key_a, r.item_key_a, r.user_key_b, r.item_key_b): r.similarity for r in got} == want
+    assert sum(k[0] != k[2] and k[1] != k[3] for k in want) > 30
+
+
 def test_similar_ids_have_similar_codes():
     rng = random.Random(2)
     ids = ["".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(12)) for _ in range(200)]
