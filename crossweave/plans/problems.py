@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crossweave.operators import item_references, keyed
 from crossweave.operators.scale import table
@@ -19,7 +20,10 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p2_found(spark, d):
-    return item_references.orphan_fields(_tables(spark, d), levels=0).select("table_name", "field_name", "row_key")
+    """The cascade is walked to its fixpoint; of its records those that lack an item themselves are cases."""
+    lost = item_references.orphan_fields(_tables(spark, d))
+    own = F.struct("table_name", "field_name").isin(*[F.struct(F.lit(t), F.lit(f)) for t, f, *_ in item_references.REFERENCES])
+    return lost.where((F.col("kind") == "direct") & own).select("table_name", "field_name", "row_key")
 
 
 def p2_report(spark, d):

@@ -4,9 +4,10 @@ import random
 from pyspark.sql import functions as F
 import pytest
 
-from crossweave.operators import orphans, scale
+from crossweave.operators import item_references, orphans, scale
 from crossweave.operators.item_references import orphan_fields, orphan_records, orphan_references, orphan_report
 from crossweave.operators.orphans import Edge, cascade, inherited_chains
+from crossweave.plans import problems
 
 RATING = "row_id long, userId string, itemId string, rating double, ts timestamp, ingested_at timestamp, batch_no int, dom string, ref string"
 
@@ -91,6 +92,16 @@ def test_records_inherit(spark):
     assert got == want
 
 
+def test_found_walks_the_cascade(spark, monkeypatch):
+    frames, rows = _tables(spark, 3)
+    walked, cascade_ = [], item_references.cascade
+    monkeypatch.setattr(item_references, "cascade", lambda direct, links, levels=None: walked.append((len(links), levels)) or cascade_(direct, links, levels))
+    monkeypatch.setattr(problems, "_tables", lambda spark, d: frames)
+    got = [tuple(r) for r in problems.p2_found(spark, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == _brute(rows)
+    assert walked == [(2, None)]  # all edges, to the fixpoint
+
+
 def test_cycles_end(spark):
     docs = spark.createDataFrame([(1, 3, None), (2, 1, None), (3, 2, None), (4, 2, None)], "row_key long, link long, at timestamp")
     ids = docs.select("row_key", F.col("row_key").alias("link"))
