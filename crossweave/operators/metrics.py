@@ -56,7 +56,11 @@ def hit_at_k(candidates: DataFrame, k: int) -> DataFrame:
 def row_metrics(candidates: DataFrame, k: int) -> DataFrame:
     """(uid, pos_iid, ndcg, hit) for rows with one relevant candidate, in one aggregation: its rank alone gives both."""
     w = Window.partitionBy(*ROW).orderBy(F.desc("score"), "cand_pos")
-    at = candidates.withColumn("rank", F.row_number().over(w)).where("is_pos = 1")
+    return of_rank(candidates.withColumn("rank", F.row_number().over(w)).where("is_pos = 1"), k)
+
+
+def of_rank(at: DataFrame, k: int) -> DataFrame:
+    """(uid, pos_iid, ndcg, hit) of the rank of each row's one relevant candidate."""
     hit = F.col("rank") <= k
     return at.select(*ROW, F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0).alias("ndcg"), hit.cast("int").alias("hit"))
 
