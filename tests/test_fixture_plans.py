@@ -1,10 +1,13 @@
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from compare import assert_same, views
 
 from crossweave.operators import scoring
 from crossweave.plans import fixture as fixtures, queries, queries_sql
+from crossweave.sources.readers import parse_paths
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -57,3 +60,34 @@ def test_equal_vectors_are_ranked_once(spark, fresh, monkeypatch):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(scoring.top_scores(users, items)) == key(ranked(users, items)) and seen == [2]
     _same(spark, fresh, "best_k_closed_form")
+
+
+def test_paths_of_odd_parts_come_once(spark, tmp_path, monkeypatch):
+    """Repeated parts, items of two sizes or brands, items whose keys are cut to the same nine digits, and nulls."""
+    sizes = [1, 3, 6, 9, 12, 50]
+    parts = [(k, f"B{k % 2}", ("PROMO", "LARGE")[k % 3 == 0], sizes[k % 5]) for k in range(60)] + [(k, "B0", t, s) for t in ("SMALL", "STANDARD") for k in (7, 9) for s in sizes]
+    parts += parts[:30] + [(9, "B1", "LARGE", 3), (None, "B1", "ECONOMY", 3), (None, "B1", "LARGE", 3), (61, None, "PROMO", 3), (62, "B0", "LARGE", None), (63, "B1", None, 3)]
+    parts += [(10**9 + k, "B0", t, 3) for k in range(3) for t in ("MEDIUM", "STANDARD")]
+    t = pa.table(dict(zip(("p_partkey", "p_brand", "p_type", "p_size"), map(list, zip(*parts, strict=True)), strict=True)), schema=pa.schema([("p_partkey", pa.int64()), ("p_brand", pa.string()), ("p_type", pa.string()), ("p_size", pa.int32())]))
+    pq.write_table(t, tmp_path / "part.parquet")
+    for of_text, in_task in ((100, 4_000_000), (1, 20)):
+        monkeypatch.setattr(fixtures, "PATH_LINES", of_text)
+        monkeypatch.setattr(fixtures, "PATHS_IN_TASK", in_task)
+        fixtures.forget()
+        got = queries.scan_kg_paths(spark, str(tmp_path))
+        assert_same(got, views(tmp_path), queries_sql.oracle_sql()["scan_kg_paths"])
+        assert got.rdd.getNumPartitions() == max(4, -(-got.count() // in_task))
+    fixtures.forget()
+
+
+def test_no_paths(spark, tmp_path):
+    t = pa.table({"p_partkey": pa.array([1, 2], pa.int64()), "p_brand": ["a", "b"], "p_type": ["PROMO", "LARGE"], "p_size": pa.array([1, 1], pa.int32())})
+    pq.write_table(t, tmp_path / "part.parquet")
+    assert queries.scan_kg_paths(spark, str(tmp_path)).isEmpty()
+
+
+def test_lines_are_parsed_as_json():
+    lines = b'{"n2_asin":"\\u0041\\"","n1_asin":null,"more":[1]}\n{"n1_asin":"b"}\n'
+    assert [r for batch in parse_paths(lines) for r in batch.to_pylist()] == [{"n1_asin": None, "n2_asin": 'A"'}, {"n1_asin": "b", "n2_asin": None}]
+    with pytest.raises(ValueError):
+        parse_paths(b"{]\n")
