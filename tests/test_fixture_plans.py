@@ -1,11 +1,13 @@
 import os
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import assert_same, views
+from pyspark.sql import functions as F
 
-from crossweave.operators import scoring
+from crossweave.operators import scoring, transfer
 from crossweave.plans import fixture as fixtures, queries, queries_sql
 from crossweave.sources.readers import parse_paths
 
@@ -51,6 +53,39 @@ def test_paths_are_not_spelt_out_to_be_followed(spark, fresh, monkeypatch):
         _same(spark, fresh, name)
 
 
+def _shuffle_files(spark):
+    x = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for k in range(x.size()) if (n := x.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_shuffle_files_end_with_their_table(spark, fresh):
+    before = _shuffle_files(spark)
+    fixtures.fixture(spark, FOLDER)._keep("some", spark.range(1000).repartition(3))
+    end = time.monotonic() + 20
+    while (left := _shuffle_files(spark) - before) and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not left
+
+
+def test_negatives_of_all_users_are_dealt_once(spark, fresh, monkeypatch):
+    monkeypatch.setattr(fixtures.Fixture, "matrix_no_shared", property(_never))
+    monkeypatch.setattr(fixtures, "PAIRS_IN_TASK", 1)
+    df = queries.reg_negative_candidates(spark, FOLDER)
+    assert "RoundRobinPartitioning" not in df._jdf.queryExecution().toString() and df.rdd.getNumPartitions() > 4
+    _same(spark, fresh, "reg_negative_candidates")
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_lists_of_targets_are_full(spark, fresh, monkeypatch, block):
+    """Items of a class lie far apart; that doesn't cut its lists."""
+    monkeypatch.setattr(transfer, "ITEM_BLOCK", block)
+    f = fixtures.fixture(spark, FOLDER)
+    sizes = {r.code: r.n for r in f.sim_targets.join(f.target_classes, ["p_brand", "s2"]).groupBy("code").agg(F.countDistinct("tgt_iid").alias("n")).collect()}
+    lists = {r.code: r["count"] for r in f.target_lists.groupBy("code").count().collect()}
+    assert lists.keys() == sizes.keys() and all(lists[c] <= -(-n // block) for c, n in sizes.items())
+    _same(spark, fresh, "reg_negative_candidates")
+
+
 def test_equal_vectors_are_ranked_once(spark, fresh, monkeypatch):
     ranked, seen = scoring.ranked_scores, []
     monkeypatch.setattr(scoring, "ranked_scores", lambda users, items: seen.append(users.count()) or ranked(users, items))
