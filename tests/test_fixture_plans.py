@@ -67,6 +67,15 @@ def test_shuffle_files_end_with_their_table(spark, fresh):
     assert not left
 
 
+def test_transfer_pairs_need_no_target_ratings(spark, fresh, monkeypatch):
+    """Those of shared users aren't kept, and only shared users are warm."""
+    f = fixtures.fixture(spark, FOLDER)
+    assert f.matrix_no_shared.join(f.warm, "uid", "left_semi").isEmpty() and not f.warm.isEmpty()
+    fixtures.forget()
+    monkeypatch.setattr(fixtures.Fixture, "matrix_no_shared", property(_never))
+    _same(spark, fresh, "transfer_pairs")
+
+
 def test_negatives_of_all_users_are_dealt_once(spark, fresh, monkeypatch):
     monkeypatch.setattr(fixtures.Fixture, "matrix_no_shared", property(_never))
     monkeypatch.setattr(fixtures, "PAIRS_IN_TASK", 1)
